@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import extraction, language_id, mixing, packing, quality, sharding, simhash, warc
 from .common import table
 
 
+def op1_html_extraction(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_sharding_compaction(spark, sf_dir):
+    return sharding.compacted(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -14,6 +30,14 @@ def op7_mixing_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc_revisits(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op10_quality_outliers(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
