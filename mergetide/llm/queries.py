@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, language_id, mixing, packing, quality, sharding, simhash, warc
+from pyspark.sql import functions as F
+
+from . import embeddings, extraction, language_id, mixing, packing, quality, secrets, sharding, simhash, warc
 from .common import table
 
 
@@ -14,6 +16,10 @@ def op2_sharding_compaction(spark, sf_dir):
     return sharding.compacted(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,11 @@ def op7_mixing_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", "length", F.md5("candidate").alias("candidate_md5"), "score", "is_secret")
+
+
 def op9_warc_revisits(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -65,9 +76,42 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NO
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN c ON e.vec_id = c.x LEFT JOIN n ON e.vec_id = n.x
+"""
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p
+), d AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
+  FROM h
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op7_mixing_sources": OP7_SQL}
+    return {"op3_embedding_near_dedup": OP3_SQL, "op7_mixing_sources": OP7_SQL, "op9_warc_revisits": OP9_SQL}
