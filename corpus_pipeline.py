@@ -1,30 +1,51 @@
-"""The corpus pipeline: each stage reads what its predecessor wrote."""
+"""The corpus pipeline: each stage works on all that its predecessor wrote.
+
+Language ID, SimHash near-dedup, secret scans, mixing, best-fit packing.  All stages but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from mergetide.llm import mixing, simhash
+from pyspark.sql import DataFrame, SparkSession
+
+from mergetide.llm import language_id, mixing, packing, secrets, simhash
 from mergetide.llm.common import stage, table
 
 
-def near_dedup(spark, docs, sf_dir):
-    """One document of each SimHash group stays."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go; a missing ``lang`` is filled in."""
+    return language_id.known_language(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
     return simhash.deduplicated(docs)
 
 
-def mix_sources(spark, docs, sf_dir):
-    """Documents as often as the mix takes them."""
+def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, some not at all."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("simhash", near_dedup), ("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify_language), ("simhash_dedup", near_dedup), ("secret_scan", scan_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Fingerprints need a hash that the SQL engine lacks; tests hold the stages against brute force.
+#: SQL has no frozen byte statistics, XXH64 fingerprints or sequential packing; tests hold the stages against brute force.
 ORACLE_SQL = None
