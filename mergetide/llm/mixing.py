@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
     every = Window.partitionBy(F.lit(0))
     t = t.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(order), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(order), F.lit(0.0))))
     t = t.withColumn("capped", F.col("level") * F.col("w") > F.col("cap"))
-    t = t.withColumn("final", F.min(F.when(~F.col("capped"), F.col("level"))).over(every))
+    t = t.withColumn("final", F.max(F.when(~F.col("capped"), F.col("level"))).over(every))
     return t.select("key", "by", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
 
 

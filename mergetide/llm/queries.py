@@ -59,7 +59,7 @@ WITH d AS (
 ), l AS (
   SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level
   FROM w WINDOW p AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), f AS (SELECT *, level * w > cap AS capped, min(CASE WHEN level * w > cap THEN NULL ELSE level END) OVER () AS final FROM l
+), f AS (SELECT *, level * w > cap AS capped, max(CASE WHEN level * w > cap THEN NULL ELSE level END) OVER () AS final FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(final * w, cap) END AS target FROM f
 ), b AS (
