@@ -196,7 +196,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
-    """The paths of one host's style tree whose branches go, from a row for each path."""
+    """One row: the paths of a host's style tree whose branches go, from a row for each path."""
     rows = {r.path: r for r in nodes.itertuples()}
     below = defaultdict(list)
     for r in rows.values():
@@ -216,7 +216,7 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
             weight = GAMMA**r.styles
             value[p] = (1 - weight) * r.entropy + weight * inner
     gone = [p for p in order if rows[p].m >= MIN_PAGES and value[p] < THRESHOLD]
-    return pd.DataFrame({"host": nodes["host"].iloc[:1].repeat(len(gone)).tolist(), "path": pd.Series(gone, dtype="int64")})
+    return pd.DataFrame({"host": [nodes["host"].iloc[0]], "paths": [gone]})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     once = pages.withColumn("h", F.xxhash64("html")).join(small(hosts), "host", "left_semi")
     once = once.join(small(first.select("host", "h", "low")), ["host", "h"], "left").where(F.col("low").isNull() | (F.col("low") == F.col("page_id")))
     tree = stage(style_tree(once.select("host", "html")), "tree")
-    return tree.groupBy("host").applyInPandas(_importance, "host string, path long").groupBy("host").agg(F.collect_list("path").alias("paths"))
+    return tree.groupBy("host").applyInPandas(_importance, "host string, paths array<long>").where(F.size("paths") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
