@@ -138,7 +138,7 @@ class Model:
         bits = self._bits(_grams(buffer, ORDER + 1), ORDER + 1)
         starts = np.cumsum([0, *(len(p) for _, p in group[:-1])])
         ends = starts + [len(p) - ORDER for _, p in group]  # the first ORDER bytes of a piece are context only
-        edges = np.minimum(np.stack([starts, ends], 1).ravel(), len(bits) - 1)
+        edges = np.stack([starts, ends], 1).ravel()[:-1]  # the last piece ends with the buffer
         sums = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
         np.add.at(out, [i for i, _ in group], sums)
 
