@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"""(?<=[=:]\s{0,2}["'])[^\s"']{8,}+|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"""
+CANDIDATE = r"""(?<=[=:]\s{0,2}["'])[^\s"']{8,}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"""
 #: Characters of the text before and after a candidate that are looked at.
 BEFORE, AFTER = 60, 30
 TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 20, 6, 7, 1600, 0.5
