@@ -92,7 +92,8 @@ class CountMin(Table):
                     for c, i in zip(cells, at, strict=True):
                         if c.get(i, 0) < goal:
                             c[i] = goal
-            yield pd.DataFrame([(r, i, v) for r, c in enumerate(cells) for i, v in c.items()], columns=["row", "col", "c"])
+            if any(cells):
+                yield pd.DataFrame([(r, i, v) for r, c in enumerate(cells) for i, v in c.items()], columns=["row", "col", "c"])
 
         return self.merge(dealt.sortWithinPartitions("_x").mapInPandas(fold, "row int, col long, c long"))
 
