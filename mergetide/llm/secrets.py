@@ -154,7 +154,8 @@ def scan(docs: DataFrame, forest: str | None = None, threshold: float = THRESHOL
     table gives an empty table.
     """
     found = scan_columns(docs.select("doc_id", "text"), forest or train(docs.sparkSession))
-    rows = found.select("doc_id", F.posexplode("_mt_found").alias("ordinal", "x"))
+    # the outer form, as a plain explode filters by the array's size first and so finds candidates twice
+    rows = found.select("doc_id", F.posexplode_outer("_mt_found").alias("ordinal", "x")).where("x is not null")
     return rows.select("doc_id", "ordinal", F.length("x.candidate").cast("long").alias("length"), "x.candidate", "x.score", (F.col("x.score") >= threshold).alias("is_secret"))
 
 
