@@ -64,9 +64,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged table for broadcast if it has at most ``rows`` rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Mark a staged table for broadcast if it has at most ``rows`` rows; else leave the join to shuffle.
+
+    ``weight``: what a row counts for, if it may be long.
+    """
+    n = df.limit(rows + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def key_of(source: Column) -> Column:

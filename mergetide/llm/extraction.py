@@ -268,5 +268,5 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append(Page(source).text(known[name]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    out = rows.join(small(cuts), "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(read, "page_id long, url string, text string")
+    out = rows.join(small(cuts, weight=1 + F.size("paths")), "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(read, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
