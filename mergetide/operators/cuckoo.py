@@ -139,6 +139,18 @@ class Kernel:
     def clear(self) -> None:
         self.table, self.inserted = [[0] * SLOTS for _ in range(self.spec.buckets)], 0
 
+    def pack(self) -> bytes:
+        """The table with ``bits`` for a slot, buckets at byte edges, little endian."""
+        size, bits = -(-SLOTS * self.spec.bits // 8), self.spec.bits
+        return b"".join(sum(fp << bits * i for i, fp in enumerate(b)).to_bytes(size, "little") for b in self.table)
+
+    def unpack(self, data: bytes) -> None:
+        size, bits = -(-SLOTS * self.spec.bits // 8), self.spec.bits
+        require(len(data) == size * self.spec.buckets, "packed table has another size")
+        words = [int.from_bytes(data[i : i + size], "little") for i in range(0, len(data), size)]
+        self.table = [[w >> bits * i & ((1 << bits) - 1) for i in range(SLOTS)] for w in words]
+        self.inserted = sum(x > 0 for b in self.table for x in b)
+
     @property
     def load_factor(self) -> float:
         return self.inserted / (SLOTS * self.spec.buckets)

@@ -75,6 +75,11 @@ class CountMin(Table):
         rows = rows.groupBy(*by, key).agg(F.sum("_n").alias("_n"))
         return self.locate(rows, key).groupBy(*by, "row", "col").agg(F.sum("_n").alias("c"))
 
+    @staticmethod
+    def total(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """by..., total: the weight in a linear table, which every row holds once."""
+        return state.where("row = 0").groupBy(*by).agg(F.sum("c").alias("total"))
+
     def build_conservative(self, df: DataFrame, key: str, count: str | None = None, partitions: int | None = None) -> DataFrame:
         """row, col, c with conservative updates, keys in ascending order within each of ``partitions`` tasks."""
         n = F.lit(1).cast("long") if count is None else F.col(count).cast("long")

@@ -130,6 +130,12 @@ def entries(states: DataFrame, by: Sequence[str], whole: bool) -> DataFrame:
     return states.select(*by, capacity.alias("capacity"), F.explode(unfold("state")).alias("e")).select(*by, "e.item", "e.count", "e.error", "capacity")
 
 
+def describe(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., tracked, capacity, untracked: items with counters, and what any other item may have at most."""
+    full = F.count(F.lit(1)) >= F.max("capacity")
+    return summary.groupBy(*by).agg(F.count(F.lit(1)).alias("tracked"), F.max("capacity").alias("capacity"), F.when(full, F.min("count")).otherwise(F.lit(0)).alias("untracked"))
+
+
 def merge(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Entries of two summaries of one capacity: a full outer join; what one side lacks counts as its minimum if it is full."""
     keys = [*by, "item"]

@@ -149,6 +149,12 @@ def merge(*states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return merge_states(out, by, TDigest.load)
 
 
+def describe(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., compression, count, centroids (merged and buffered)."""
+    get = lambda name: F.get_json_object("state", f"$.{name}")
+    return states.select(*by, get("compression").cast("double").alias("compression"), get("total").cast("double").alias("count"), (F.json_array_length(get("centroids")) + F.json_array_length(get("buffer"))).alias("centroids"))
+
+
 def quantiles(states: DataFrame, queries: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by..., q, value; an empty digest gives nulls."""
     for q in queries:

@@ -219,6 +219,17 @@ def test_cuckoo_kernel_agrees_with_counts():
         assert k.delete(h) and k.inserted == n - refused - 1
 
 
+def test_cuckoo_tables_are_packed_and_read_back():
+    for bits in range(6, 17):
+        k, other = cuckoo.Kernel(cuckoo.Cuckoo(8, bits)), cuckoo.Kernel(cuckoo.Cuckoo(8, bits))
+        for i in range(24):
+            k.insert(H.hash64(i, H.CUCKOO_ITEM_SEED))
+        other.unpack(k.pack())
+        assert other.table == k.table and other.inserted == k.inserted and len(k.pack()) == 8 * -(-4 * bits // 8)
+    with pytest.raises(InvalidParameterError):
+        other.unpack(b"x")
+
+
 def test_cuckoo_false_positives():
     spec = cuckoo.Cuckoo.for_items(3600, 0.01)
     k = cuckoo.Kernel(spec)

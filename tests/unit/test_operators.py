@@ -161,6 +161,16 @@ def test_space_saving_by_group(spark):
     assert space_saving.merge(a, b.limit(0), ["g"]).count() == a.count()
 
 
+def test_states_describe_themselves(spark):
+    df = spark.range(500).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    assert [(r.k, r["count"]) for r in kll.describe(kll.build(df, "x", 50, ["g"]), ["g"]).collect()] == [(50, 250)] * 2
+    r = tdigest.describe(tdigest.build(df, "x", 100)).first()
+    assert (r.compression, r["count"]) == (100.0, 500.0) and 0 < r.centroids <= 500
+    r = space_saving.describe(space_saving.build(df, "g", 2)).first()
+    assert (r.tracked, r.capacity, r.untracked) == (2, 2, 250)
+    assert frequency.CountMin.total(frequency.CountMin(16, 3, 1).build(df, "g")).first().total == 500
+
+
 def test_reservoir_is_uniform_and_mergeable(spark):
     df = ids(spark, 0, 2000)
     mean = np.mean([r.v for seed in range(20) for r in reservoir.sample(df, "v", 50, seed=seed).collect()])
