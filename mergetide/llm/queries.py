@@ -66,13 +66,38 @@ WITH d AS (
   SELECT *, least(CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END, 3) AS base FROM t
 ), g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h
 ), r AS (
-  SELECT g.source, g.h, g.n, b.target - b.base * b.source_size AS rest, sum(g.n) OVER (PARTITION BY g.source ORDER BY g.h) AS upto
+  SELECT g.source, g.h, g.n, b.target - b.base * b.source_size AS need, sum(g.n) OVER (PARTITION BY g.source ORDER BY g.h) AS upto
   FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source
-), c AS (
-  SELECT source, h, rest > 0 AND (upto < rest OR (upto - n < rest AND rest - (upto - n) >= upto - rest)) AS more FROM r
+), c0 AS (
+  SELECT source, need, coalesce(max(CASE WHEN upto <= need THEN upto END), 0) AS fits, min(CASE WHEN upto > need THEN h END) AS edge, min_by(n, CASE WHEN upto > need THEN h END) AS over,
+         need - coalesce(max(CASE WHEN upto <= need THEN upto END), 0) AS miss, min(CASE WHEN upto > need THEN h END) AS last
+  FROM r WHERE need > 0 GROUP BY source, need
+), u1 AS (  -- later documents of at most half of what is missing
+  SELECT source, h, need, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
+    SELECT d.source, d.h, p.miss AS need, sum(d.size) AS n FROM d JOIN c0 p ON d.source IS NOT DISTINCT FROM p.source WHERE p.miss > 0 AND d.h > p.last AND d.size <= p.miss / 2 GROUP BY 1, 2, 3)
+), v1 AS (SELECT source, coalesce(max(CASE WHEN upto <= need THEN upto END), 0) AS fits, coalesce(min(CASE WHEN upto > need THEN h END), 1152921504606846976) AS edge, true AS some FROM u1 GROUP BY source
+), c1 AS (
+  SELECT p.* EXCLUDE (miss, last), p.last AS low1, v.edge AS high1, p.miss / 2 AS most1, p.miss - coalesce(v.fits, 0) AS miss, coalesce(v.edge, p.last) AS last
+  FROM c0 p LEFT JOIN v1 v ON p.source IS NOT DISTINCT FROM v.source
+), u2 AS (  -- later documents of at most half of what is missing
+  SELECT source, h, need, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
+    SELECT d.source, d.h, p.miss AS need, sum(d.size) AS n FROM d JOIN c1 p ON d.source IS NOT DISTINCT FROM p.source WHERE p.miss > 0 AND d.h > p.last AND d.size <= p.miss / 2 GROUP BY 1, 2, 3)
+), v2 AS (SELECT source, coalesce(max(CASE WHEN upto <= need THEN upto END), 0) AS fits, coalesce(min(CASE WHEN upto > need THEN h END), 1152921504606846976) AS edge, true AS some FROM u2 GROUP BY source
+), c2 AS (
+  SELECT p.* EXCLUDE (miss, last), p.last AS low2, v.edge AS high2, p.miss / 2 AS most2, p.miss - coalesce(v.fits, 0) AS miss, coalesce(v.edge, p.last) AS last
+  FROM c1 p LEFT JOIN v2 v ON p.source IS NOT DISTINCT FROM v.source
+), u3 AS (  -- later documents of at most half of what is missing
+  SELECT source, h, need, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
+    SELECT d.source, d.h, p.miss AS need, sum(d.size) AS n FROM d JOIN c2 p ON d.source IS NOT DISTINCT FROM p.source WHERE p.miss > 0 AND d.h > p.last AND d.size <= p.miss / 2 GROUP BY 1, 2, 3)
+), v3 AS (SELECT source, coalesce(max(CASE WHEN upto <= need THEN upto END), 0) AS fits, coalesce(min(CASE WHEN upto > need THEN h END), 1152921504606846976) AS edge, true AS some FROM u3 GROUP BY source
+), c3 AS (
+  SELECT p.* EXCLUDE (miss, last), p.last AS low3, v.edge AS high3, p.miss / 2 AS most3, p.miss - coalesce(v.fits, 0) AS miss, coalesce(v.edge, p.last) AS last
+  FROM c2 p LEFT JOIN v3 v ON p.source IS NOT DISTINCT FROM v.source
 )
-SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * (b.base + CASE WHEN c.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
+SELECT d.doc_id, d.size, b.source_size, b.target,
+       CAST(d.size * (b.base + CASE WHEN c.need IS NULL THEN 0 WHEN c.over - (c.need - c.fits) < c.miss THEN CASE WHEN d.h <= c.edge THEN 1 ELSE 0 END
+         WHEN d.h < c.edge OR (d.h > c.low1 AND d.h < c.high1 AND d.size <= c.most1) OR (d.h > c.low2 AND d.h < c.high2 AND d.size <= c.most2) OR (d.h > c.low3 AND d.h < c.high3 AND d.size <= c.most3) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN c3 c ON d.source IS NOT DISTINCT FROM c.source
 """
 
 

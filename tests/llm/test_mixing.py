@@ -36,6 +36,7 @@ def check(rows, table):
         largest[r.source] = max(largest[r.source], r.size)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6, s
+    return {s: (taken[s], want[s]) for s in sizes}
 
 
 def test_targets_and_closeness(spark):
