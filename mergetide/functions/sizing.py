@@ -70,6 +70,7 @@ def hll_for_error(target: float) -> int:
     return found
 
 
+# Variance factor and inverse Fisher information of the two estimators.
 ULL_FACTORS = {"fgra": math.sqrt(0.6118931496978437), "mle": 0.7608621002725182}
 
 
