@@ -11,7 +11,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,13 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short slices of batches, which may hold many long texts, so that few are in Python's memory at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import slices, small, stage
 
 #: Weight of what lies below a node, importance below which a branch goes, distinct pages that a host needs.
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.2, 10
@@ -187,12 +187,10 @@ def host(url: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("host", pa.string()), *((x, pa.int64()) for x in ("path", "up", "kind", "value", "n"))])
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            rows = [(h, *x) for h, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in Page(s).features()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for part in slices(batches):
+        rows = [(h, *x) for h, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in Page(s).features()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -258,15 +256,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                texts = []
-                for name, source, paths in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                    if name not in known:
-                        known = {name: frozenset(paths or ())} if len(known) > 1000 else known | {name: frozenset(paths or ())}
-                    texts.append(Page(source).text(known[name]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for part in slices(batches):
+            texts = []
+            for name, source, paths in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if name not in known:
+                    known = {name: frozenset(paths or ())} if len(known) > 1000 else known | {name: frozenset(paths or ())}
+                texts.append(Page(source).text(known[name]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.join(small(cuts, weight=1 + F.size("paths")), "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(read, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

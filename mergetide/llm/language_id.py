@@ -19,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 4
 #: Bounds of the training sample: documents and bytes of a language, characters of a document.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_CHARS = 300, 1_000_000, 20_000
 #: Bound of the model: entries of the longest contexts times languages.
 MAX_CELLS = 6_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _START = b"\n" * ORDER
@@ -199,7 +201,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     fitted = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = _judge(fitted.value, b.column("text"), b.column("letter"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -216,7 +218,7 @@ def known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = _judge(fitted.value, b.column("text"), b.column("_mt_letter"))
             lang = pa.array(lang, b.column("lang").type)
             columns = [pc.coalesce(b.column(c), lang) if c == "lang" else b.column(c) for c in names]

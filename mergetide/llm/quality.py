@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, small, stage
+from .common import key_of, slices, small, stage
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 0.3
 #: Share of a group that an estimate rests on; steps; rows that a group of its own needs; odds of a clean row to go.
@@ -66,7 +66,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = np.array([counts(t) for t in b.column("text").cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(x) for x in np.ascontiguousarray(found.T))], names=["doc_id", "lang", "source", *names])
 

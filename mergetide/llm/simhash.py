@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small, stage
+from .common import connected_components, slices, small, stage
 
 MAX_BITS, MIN_BYTES, LONG_LIST = 2, 6, 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -43,7 +43,7 @@ def fingerprint(text: bytes | None, words_per_shingle: int = 3) -> int:
 
 
 def _batches(batches, words_per_shingle):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words_per_shingle) for t in texts], pa.int64())], names=["k", "fp"])
 
