@@ -63,7 +63,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing needs any more."""
+    for df in tables:
+        remove(df.sparkSession, df.staged_at)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
@@ -102,8 +110,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(u.alias("node"), v.alias("comp")).union(e.select(v.alias("node"), v.alias("comp")).distinct())
         both = e.union(e.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large")
+        large = stage(both.join(low, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(low, "u").where("v <> m").select(v.alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = stage(step.distinct(), "edges")
+        before, e = e, stage(step.distinct(), "edges")
+        discard(before, large)
