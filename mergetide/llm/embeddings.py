@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,8 @@ def _tiles(basis):
             short = vectors.astype(np.float32)
             vectors = short if np.array_equal(short, vectors) else vectors
             blob = [np.array([r[3] for r in rows], np.int64).tobytes(), np.array([r[4] for r in rows], np.int64).tobytes(), vectors.tobytes()]
-            return pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (rows[0][0], rows[0][1], rows[0][3], min(first), max(first)))] + [pa.array([x], pa.binary()) for x in blob], names=["label", "dim", "tile", "low", "high", "ids", "ns", "vectors"])
+            name = xxhash.xxh64_intdigest(b"".join(blob)) - (1 << 63)
+            return pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (rows[0][0], rows[0][1], name, min(first), max(first)))] + [pa.array([x], pa.binary()) for x in blob], names=["label", "dim", "tile", "low", "high", "ids", "ns", "vectors"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5).to_numpy(zero_copy_only=False), strict=True):
@@ -162,6 +164,11 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     head = ["label", "dim", "tile", "low", "high"]
     a, b = tiles.select(*head).alias("a"), tiles.select(*head).alias("b")
     near = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.struct("a.low", "a.tile") <= F.struct("b.low", "b.tile")) & (F.col("b.low") - F.col("a.high") <= gap)
+    # one label may have many tiles: its pairs are dealt over more tasks the more there are
+    salts = max(1, tiles.count() // 256)
+    a = a.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(salts)))
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    a, b, near = a.alias("a"), b.alias("b"), near & (F.col("a.salt") == F.col("b.salt"))
     pairs = stage(a.join(b, near).select(F.col("a.dim").alias("dim"), F.col("a.tile").alias("a"), F.col("b.tile").alias("b")), "tile-pairs")
     blob = lambda x: tiles.select(F.col("tile").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("ids", "ns", "vectors")))
 
