@@ -212,3 +212,14 @@ def test_summarise_skips_nulls_and_flushes(spark, monkeypatch):
     df = spark.range(100).select((F.col("id") % 10).alias("g"), F.when(F.col("id") % 4 != 0, F.col("id").cast("double")).alias("x"))
     got = summarise(df, ["g"], ["x"], lambda pid: kll.Kll(50), kll.Kll.load)
     assert sum(kll.Kll.load(r.state).count for r in got.collect()) == 75 and got.count() == 10
+
+
+def test_kll_quantiles_takes_every_supplier(spark, tmp_path):
+    """More suppliers than the sketch has room for: the ranks are those of the whole table, not of its first keys."""
+    from mergetide.plans import catalogue
+
+    n = 2000
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.col("id").cast("double").alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.q: r.value for r in catalogue.QUERIES["kll_quantiles"](spark, str(tmp_path)).collect()}
+    assert list(got) == catalogue.QS
+    assert all(abs(v - q * n) <= sizing.kll_rank_error(200) * n + 1 for q, v in got.items()), got
