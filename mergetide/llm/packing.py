@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -108,19 +108,26 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     of ``capacity``, which fill bins by themselves, and a rest that is packed; the pieces cover it whole.
     Two pieces of one source, or of one cluster, never share a bin; a null source or cluster conflicts
     with nothing.  A document of size 0 gets one piece of size 0 in no bin (null).  In a group, pieces go largest
-    first, ties by id and text hash, so reruns agree; rows that repeat an id are packed each.  An
-    empty table gives an empty table.
+    first, ties by id and text hash, so reruns agree; rows that repeat an id are packed each, and their
+    full pieces have bins of their own.  An empty table gives an empty table.
     """
     text = docs["text"]
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), (word_count(text) if size is None else docs[size].cast("long")).alias("words"), (F.xxhash64(text) if cluster is None else docs[cluster].cast("long")).alias("cluster"), F.xxhash64(docs["doc_id"], text).alias("h"), text.isNull().alias("blank"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), (word_count(text) if size is None else F.coalesce(docs[size].cast("long"), F.lit(0).cast("long"))).alias("words"), (F.xxhash64(text) if cluster is None else docs[cluster].cast("long")).alias("cluster"), F.xxhash64(docs["doc_id"], text).alias("h"), text.isNull().alias("blank"))
     rows = stage(rows.withColumn("cluster", F.when(~F.col("blank") if cluster is None else F.lit(True), F.col("cluster"))).drop("blank"), "sizes")
     n = max(1, -(-rows.count() // group_rows))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity)))))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("size", F.least(F.col("words") - F.col("start"), F.lit(capacity).cast("long")))
     pieces = pieces.select("doc_id", "source", "piece", "start", "size", "cluster", "h", F.pmod("h", F.lit(n)).alias("g"))
-    whole = pieces.where((F.col("size") == capacity) | (F.col("size") == 0))
-    name = F.concat_ws("-", F.lit("full"), F.hex("h"), "piece")
-    full = whole.select("doc_id", "source", "piece", "start", "size", F.when(F.col("size") > 0, name).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
+    alike = ["doc_id", "source", "words", "h"]
+    # repeats are counted before they are numbered, so a hot row is one row here
+    long = rows.where(F.col("words") >= capacity).groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("h").orderBy("doc_id", "source", "words").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    long = long.withColumn("before", before).select(*alike, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("copy"))
+    long = long.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("words") / capacity) - 1)).alias("piece"))
+    name = F.concat_ws("-", F.lit("full"), F.hex("h"), "copy", "piece")
+    zero, filled = F.lit(0).cast("long"), F.lit(capacity).cast("long")
+    full = long.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("start"), filled.alias("size"), name.alias("bin_id"), zero.alias("bin_offset"))
+    empty = pieces.where("size = 0").select("doc_id", "source", "piece", "start", "size", F.lit(None).cast("string").alias("bin_id"), zero.alias("bin_offset"))
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "doc_id", "h", "piece"], ascending=[False, True, True, True], kind="stable")
@@ -129,4 +136,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
         return part.assign(bin_id=[f"{key[0]}-{b}" for b, _ in placed], bin_offset=[o for _, o in placed])[["doc_id", "source", "piece", "start", "size", "bin_id", "bin_offset"]]
 
     packed = pieces.where((F.col("size") < capacity) & (F.col("size") > 0)).groupBy("g").applyInPandas(one, full.schema)
-    return packed.unionByName(full)
+    return packed.unionByName(full).unionByName(empty)

@@ -77,3 +77,33 @@ def test_odd_rows(docs, no_docs):
     assert sum(r.size for r in rows if r.doc_id == 6) == 60_000 and sum(r.doc_id == 2 for r in rows) == 2
     assert all(r.bin_id is None and r.size == 0 for r in rows if r.doc_id in (3, 4, 5))
     assert packing.pack(no_docs).count() == 0
+
+
+def test_repeated_long_rows_have_bins_of_their_own(spark):
+    """Full pieces of rows that repeat a document, also under two sources or without an id, never share a bin."""
+    long = " ".join(f"w{i}" for i in range(150))
+    rows = [(1, long, "a"), (1, long, "a"), (1, long, "a"), (1, long, "b"), (None, long, None), (None, long, None), (2, " ".join(["x"] * 128), "a"), (2, " ".join(["x"] * 128), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, capacity=64).collect()
+    check(got, 64, {})
+    assert sum(r.size for r in got) == 6 * 150 + 2 * 128
+    full = [r.bin_id for r in got if r.size == 64]
+    assert len(full) == len(set(full)) == 16
+    assert sorted(map(str, got)) == sorted(map(str, packing.pack(df.repartition(3), capacity=64).collect()))
+
+
+def test_full_bins_of_a_mix(spark):
+    """The mix takes documents up to three times, as the pipeline's stage before the packing does."""
+    from mergetide.llm import mixing
+    from mergetide.llm.common import stage
+
+    docs = stage(mixing.mixed_documents(spark.read.parquet(f"{DATA}/documents.parquet")), "mix")
+    got = packing.pack(docs, capacity=64).collect()
+    check(got, 64, {})
+    assert sum(r.size for r in got) == docs.select(mixing.word_count(docs["text"]).alias("n")).groupBy().sum("n").first()[0]
+    by = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        if r.bin_id:
+            by.setdefault(r.bin_id, []).append(texts[r.doc_id])
+    assert all(len(x) == len(set(x)) for x in by.values())
