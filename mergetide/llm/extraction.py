@@ -5,8 +5,10 @@ names).  A node's presentation importance is the entropy of its child sequences
 content importance of its own text is what its texts lack in repetition; the importance of a branch composes
 both from the leaves up.  Branches of low importance are the site's own furniture and are cut out of every page.
 Elements that HTML itself marks as furniture (menus, headers, footers, asides, forms, scripts, adverts,
-comments) go on any page, also of hosts with few pages.  If a page marks its article, only that is kept; its
-paragraphs are never cut as furniture, since a host may repeat an article.
+comments) go on any page, also of hosts with few pages.  A page's mark of its article is a prior: only what is
+marked is kept if one marked part holds at least as much text as all that isn't marked; else both stay, as the marks may be
+teasers.  In an article each text is a leaf of the tree of its own: what most of a host's pages repeat goes, unless
+that is more than half of a page's article, since a host may repeat an article.
 """
 
 from __future__ import annotations
@@ -55,11 +57,15 @@ PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def text_hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
+
+
 class Page:
     """The elements of a page in order, each with its parent, and its text blocks."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.key, self.noise, self.inside = [-1], ["#root"], [0], [False], [False]
+        self.parent, self.tag, self.key, self.noise, self.inside = [-1], ["#root"], [0], [False], [0]  # inside: the outermost marked element
         self.children: list[list[int]] = [[]]
         self.blocks: list[tuple[int, list[str]]] = []
         self._parse(source)
@@ -85,7 +91,7 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.noise.append(self.noise[up] or bad)
-        self.inside.append(inside or main and not self.noise[-1])
+        self.inside.append(inside or (len(self.tag) - 1 if main and not self.noise[-1] else 0))
         self.key.append(xxhash.xxh64_intdigest(f"{self.key[up]}/{tag}/{' '.join(sorted(words))}") - (1 << 63))
         self.children.append([])
         self.children[up].append(len(self.tag) - 1)
@@ -153,30 +159,37 @@ class Page:
                     for x in (self.parent, self.tag, self.noise, self.inside, self.key, self.children):
                         x.pop()
 
-    def text(self, furniture: set[int] | frozenset = frozenset()) -> str:
-        """The main text; ``furniture``: keys of branches that the host's style tree cuts."""
+    def text(self, furniture: set[int] | frozenset = frozenset(), repeated: set[tuple[int, int]] | frozenset = frozenset()) -> str:
+        """The main text; ``furniture``: keys of branches that the host's style tree cuts; ``repeated``: (key, hash) of texts in articles that it cuts."""
         cut = list(self.noise)
         for i in range(1, len(cut)):
             cut[i] = cut[i] or cut[self.parent[i]] or self.key[i] in furniture and self.cuttable(i)
-        blocks = [(self.inside[i], s) for i, parts in self.blocks if not cut[i] and (s := " ".join("".join(parts).split()))]
-        if any(inside for inside, _ in blocks):
+        blocks = [(self.inside[i], i, s) for i, parts in self.blocks if not cut[i] and (s := " ".join("".join(parts).split()))]
+        if repeated:
+            again = {k for k, (inside, i, s) in enumerate(blocks) if inside and (self.key[i], text_hash(s)) in repeated}
+            if 2 * sum(len(blocks[k][2]) for k in again) <= sum(len(s) for inside, _, s in blocks if inside):
+                blocks = [x for k, x in enumerate(blocks) if k not in again]
+        held = defaultdict(int)  # characters by marked element; 0: not marked
+        for inside, _, s in blocks:
+            held[inside] += len(s)
+        if max((n for inside, n in held.items() if inside), default=-1) >= held[0]:
             blocks = [x for x in blocks if x[0]]
         if not blocks and furniture:
             return self.text()
-        return "\n\n".join(s for _, s in blocks)
+        return "\n\n".join(s for _, _, s in blocks)
 
     def cuttable(self, i: int) -> bool:
         return self.tag[i] not in ("html", "body") and self.tag[i] not in ARTICLE and not (self.inside[i] and self.tag[i] in PARAGRAPHS)
 
     def features(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(path, parent's path, kind, value, count): kind 0 a node's style, 1 the hash of a text of its own."""
+        """(path, parent's path, kind, value, count): kind 0 a node's style, 1 the hash of a text of its own, 2 of one in an article."""
         own = defaultdict(int)
         for i in range(1, len(self.tag)):
             style = xxhash.xxh64(",".join(self.tag[c] for j, c in enumerate(self.children[i]) if not j or self.tag[c] != self.tag[self.children[i][j - 1]])).intdigest()
             own[self.key[i], self.key[self.parent[i]], 0, style - (1 << 63)] += 1
         for i, parts in self.blocks:
             if i and (s := " ".join("".join(parts).split())):
-                own[self.key[i], self.key[self.parent[i]], 1, xxhash.xxh64_intdigest(s) - (1 << 63)] += 1
+                own[self.key[i], self.key[self.parent[i]], 2 if self.inside[i] else 1, text_hash(s)] += 1
         return ((*k, n) for k, n in own.items())
 
 
@@ -217,11 +230,15 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [nodes["host"].iloc[0]], "paths": [gone]})
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages``: host, html (distinct) -> host, path, up, m, styles, entropy, texts, content: a row for each path of each host."""
+def style_values(pages: DataFrame) -> DataFrame:
+    """``pages``: host, html (distinct) -> host, path, up, kind, value, n, on: how often a style or text is at a path, and on how many pages."""
     seen = pages.mapInArrow(_features, "host string, path long, up long, kind long, value long, n long")
-    values = seen.groupBy("host", "path", "up", "kind", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("on"))
-    style, text = F.col("kind") == 0, F.col("kind") == 1
+    return seen.groupBy("host", "path", "up", "kind", "value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("on"))
+
+
+def style_tree(values: DataFrame) -> DataFrame:
+    """``values``: of :func:`style_values` -> host, path, up, m, styles, entropy, texts, content: a row for each path of each host."""
+    style, text = F.col("kind") == 0, F.col("kind") > 0
     xlogx = lambda c: F.col(c) * F.log(F.col(c))
     nodes = values.groupBy("host", "path", "up").agg(
         F.sum(F.when(style, F.col("n"))).alias("m"), F.count(F.when(style, 1)).alias("styles"), F.sum(F.when(style, xlogx("n"))).alias("e"),
@@ -234,14 +251,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """``pages``: page_id, host, html -> host, paths (an array) of the branches to cut."""
+    """``pages``: page_id, host, html -> host, paths (an array) of the branches to cut, texts (an array of path, value) to cut in articles."""
     keyed = pages.select("page_id", "host", F.xxhash64("html").alias("h")).where("host <> ''")
-    first = stage(keyed.groupBy("host", "h").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
-    hosts = stage(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("host"), "hosts")
-    once = pages.withColumn("h", F.xxhash64("html")).join(small(hosts), "host", "left_semi")
-    once = once.join(small(first.select("host", "h", "low")), ["host", "h"], "left").where(F.col("low").isNull() | (F.col("low") == F.col("page_id")))
-    tree = stage(style_tree(once.select("host", "html")), "tree")
-    return tree.groupBy("host").applyInPandas(_importance, "host string, paths array<long>").where(F.size("paths") > 0)
+    distinct = stage(keyed.groupBy("host", "h").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n")), "copies")
+    hosts = stage(distinct.groupBy("host").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages")).where(F.col("n") >= MIN_PAGES).select("host", "pages"), "hosts")
+    once = pages.withColumn("h", F.xxhash64("html")).join(small(hosts.select("host")), "host", "left_semi")
+    once = once.join(small(distinct.where("n > 1").select("host", "h", "low")), ["host", "h"], "left").where(F.col("low").isNull() | (F.col("low") == F.col("page_id")))
+    values = stage(style_values(once.select("host", "html")), "values")
+    tree = stage(style_tree(values), "tree")
+    branches = tree.groupBy("host").applyInPandas(_importance, "host string, paths array<long>").where(F.size("paths") > 0)
+    often = values.where((F.col("kind") == 2) & (F.col("on") >= MIN_PAGES)).join(small(hosts), "host")
+    often = often.where(F.log("on") > (1 - THRESHOLD) * F.log("pages"))  # the importance of a text as a leaf is 1 - log(on) / log(pages)
+    often = often.groupBy("host").agg(F.collect_list(F.struct("path", "value")).alias("texts"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    both = branches.select("host", "paths", none("struct<path: long, value: long>").alias("texts")).unionByName(often.select("host", none("long").alias("paths"), "texts"))
+    return both.groupBy("host").agg(F.flatten(F.collect_list("paths")).alias("paths"), F.flatten(F.collect_list("texts")).alias("texts"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -258,11 +282,12 @@ def extract(pages: DataFrame) -> DataFrame:
         known: dict = {}
         for part in slices(batches):
             texts = []
-            for name, source, paths in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for name, source, paths, often in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if name not in known:
-                    known = {name: frozenset(paths or ())} if len(known) > 1000 else known | {name: frozenset(paths or ())}
-                texts.append(Page(source).text(known[name]))
+                    cut = frozenset(paths or ()), frozenset((x["path"], x["value"]) for x in often or ())
+                    known = {name: cut} if len(known) > 1000 else known | {name: cut}
+                texts.append(Page(source).text(*known[name]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    out = rows.join(small(cuts, weight=1 + F.size("paths")), "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(read, "page_id long, url string, text string")
+    out = rows.join(small(cuts, weight=1 + F.size("paths") + 2 * F.size("texts")), "host", "left").select("page_id", "url", "host", "html", "paths", "texts").mapInArrow(read, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -58,3 +58,22 @@ def test_odd_rows(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in X.extract(df).collect())
     assert got == [("1", "", 0), ("2", "", 0), ("3", "x", 1), ("4", "z", 1), ("4", "z", 1), ("None", "y", 1)]
     assert X.extract(df.limit(0)).count() == 0
+
+
+def test_marks_of_teasers_drop_no_text():
+    """Only cards are marked: the story beside them stays.  A mark of the larger part still stands alone."""
+    story = "This is the story itself, told at length in a plain box without a mark."
+    page = f"<body><div class=z><p>{story}</p></div><article><p>Card one</p></article><article><p>Card two</p></article></body>"
+    assert text(page) == f"{story}\n\nCard one\n\nCard two"
+    assert text(f"<body><article><p>{story}</p></article><div class=z>also here</div></body>") == story
+
+
+def test_style_tree_cuts_inside_articles(spark):
+    """The same paragraph in every article of a host goes; an article that pages repeat with little of their own stays."""
+    call = "Read more on our site"
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Story {i} begins {i * i}, goes on and ends.</p><p>{call}</p></article>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://few.example/{i}", page(i)) for i in range(9)]
+    rows += [(200 + i, f"http://same.example/{i}", f"<article><p>All the same story</p><p>and its end</p><p>{i}</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nStory {i} begins {i * i}, goes on and ends." for i in range(30))
+    assert all(got[100 + i].endswith(call) for i in range(9)) and all(got[200 + i] == f"All the same story\n\nand its end\n\n{i}" for i in range(30))
