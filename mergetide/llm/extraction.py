@@ -5,7 +5,8 @@ names).  A node's presentation importance is the entropy of its child sequences
 content importance of its own text is what its texts lack in repetition; the importance of a branch composes
 both from the leaves up.  Branches of low importance are the site's own furniture and are cut out of every page.
 Elements that HTML itself marks as furniture (menus, headers, footers, asides, forms, scripts, adverts,
-comments) go on any page, also of hosts with few pages.  A page's mark of its article is a prior: only what is
+comments) go on any page, also of hosts with few pages.  What only a class or id names so stays if it holds the
+article or most of the text, and a page never comes out empty by names alone.  A page's mark of its article is a prior: only what is
 marked is kept if one marked part holds at least as much text as all that isn't marked; else both stay, as the marks may be
 teasers.  In an article each text is a leaf of the tree of its own: what most of a host's pages repeat goes, unless
 that is more than half of a page's article, since a host may repeat an article.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, small, stage
 
+#: Share of the text above which a branch stays, by whether one of its names is furniture in part (1) or as a whole (2).
+SHARE = {1: 0.5, 2: 0.9}
 #: Weight of what lies below a node, importance below which a branch goes, distinct pages that a host needs.
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.2, 10
 
@@ -66,9 +69,13 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.key, self.noise, self.inside = [-1], ["#root"], [0], [False], [0]  # inside: the outermost marked element
+        self.named = [0]  # as in SHARE
         self.children: list[list[int]] = [[]]
         self.blocks: list[tuple[int, list[str]]] = []
         self._parse(source)
+        self.unnamed = self.noise
+        if any(self.named):
+            self.noise = self._cut_names()
 
     def _push(self, stack: list[int], tag: str, attributes: str) -> None:
         up = stack[-1]
@@ -85,12 +92,16 @@ class Page:
         words = set(WORDS.findall(CAMEL.sub(" ", names).lower())) if names else set()
         main = tag in ARTICLE or role == "main"
         inside = self.inside[up]
-        bad = hidden or role in ROLES or tag not in ("html", "body", "main") and bool(words & NAMES) or tag in FURNITURE
-        if bad and inside and not hidden and (tag == "header" or words & NAMES == {"header"} and tag not in FURNITURE) and role not in ROLES:
-            bad = False  # an article's own heading
+        bad = hidden or role in ROLES or tag in FURNITURE
+        named = 0
+        if words & NAMES and tag not in ("html", "body", "main"):
+            named = 2 if any((own := set(WORDS.findall(CAMEL.sub(" ", x).lower()))) and own <= NAMES for x in names.split()) else 1
+        if inside and not hidden and (tag == "header" or words & NAMES == {"header"} and tag not in FURNITURE) and role not in ROLES:
+            bad, named = False, 0  # an article's own heading
         self.parent.append(up)
         self.tag.append(tag)
         self.noise.append(self.noise[up] or bad)
+        self.named.append(named)
         self.inside.append(inside or (len(self.tag) - 1 if main and not self.noise[-1] else 0))
         self.key.append(xxhash.xxh64_intdigest(f"{self.key[up]}/{tag}/{' '.join(sorted(words))}") - (1 << 63))
         self.children.append([])
@@ -150,18 +161,44 @@ class Page:
             elif attributes:
                 n = len(self.tag)
                 self._push(stack, tag, attributes)
-                if self.noise[n] and not self.noise[stack[-2]]:
+                if (self.noise[n] or self.named[n]) and not self.noise[stack[-2]]:
                     inline += 1
                     block = None
                 else:  # inline elements that mark nothing are no nodes
                     stack.pop()
                     self.children[self.parent[n]].pop()
-                    for x in (self.parent, self.tag, self.noise, self.inside, self.key, self.children):
+                    for x in (self.parent, self.tag, self.noise, self.named, self.inside, self.key, self.children):
                         x.pop()
 
-    def text(self, furniture: set[int] | frozenset = frozenset(), repeated: set[tuple[int, int]] | frozenset = frozenset()) -> str:
+    def _cut_names(self) -> list[bool]:
+        """``noise`` with the branches that names call furniture, but those that hold the article or more than their SHARE of the text."""
+        held, whole = [0] * len(self.tag), [False] * len(self.tag)
+        for i, parts in self.blocks:
+            if not self.noise[i]:
+                held[i] += sum(len(x.strip()) for x in parts)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        for i in range(1, len(whole)):
+            whole[i] = whole[self.parent[i]] or self.named[i] == 2
+        marked = [i for i in range(1, len(held)) if self.inside[i] == i and held[i] and (not whole[i] or 2 * held[i] > held[0])]
+        article = max(marked, key=lambda i: (not whole[i], held[i]), default=0)
+        holds, i = set(), article
+        while i > 0:
+            holds.add(i)
+            i = self.parent[i]
+        noise = list(self.noise)
+        for i in range(1, len(noise)):
+            noise[i] = noise[i] or noise[self.parent[i]]
+            if (n := self.named[i]) and i not in holds:
+                if article and self.inside[i] == article:
+                    noise[i] |= held[i] <= SHARE[n] * held[article]
+                else:
+                    noise[i] |= bool(article) and n == 2 or held[i] <= SHARE[n] * held[0]
+        return noise
+
+    def text(self, furniture: set[int] | frozenset = frozenset(), repeated: set[tuple[int, int]] | frozenset = frozenset(), names: bool = True) -> str:
         """The main text; ``furniture``: keys of branches that the host's style tree cuts; ``repeated``: (key, hash) of texts in articles that it cuts."""
-        cut = list(self.noise)
+        cut = list(self.noise if names else self.unnamed)
         for i in range(1, len(cut)):
             cut[i] = cut[i] or cut[self.parent[i]] or self.key[i] in furniture and self.cuttable(i)
         blocks = [(self.inside[i], i, s) for i, parts in self.blocks if not cut[i] and (s := " ".join("".join(parts).split()))]
@@ -176,6 +213,8 @@ class Page:
             blocks = [x for x in blocks if x[0]]
         if not blocks and furniture:
             return self.text()
+        if not blocks and names and self.noise is not self.unnamed:
+            return self.text(names=False)
         return "\n\n".join(s for _, _, s in blocks)
 
     def cuttable(self, i: int) -> bool:
@@ -189,7 +228,7 @@ class Page:
             own[self.key[i], self.key[self.parent[i]], 0, style - (1 << 63)] += 1
         for i, parts in self.blocks:
             if i and (s := " ".join("".join(parts).split())):
-                own[self.key[i], self.key[self.parent[i]], 2 if self.inside[i] else 1, text_hash(s)] += 1
+                own[self.key[i], self.key[self.parent[i]], 2 if self.inside[i] and not self.noise[i] else 1, text_hash(s)] += 1
         return ((*k, n) for k, n in own.items())
 
 

@@ -77,3 +77,15 @@ def test_style_tree_cuts_inside_articles(spark):
     got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\n\nStory {i} begins {i * i}, goes on and ends." for i in range(30))
     assert all(got[100 + i].endswith(call) for i in range(9)) and all(got[200 + i] == f"All the same story\n\nand its end\n\n{i}" for i in range(30))
+
+
+def test_names_cut_no_page_empty():
+    """Wrappers whose names hold a word of furniture: on a box around the article, on the article, around its text, and without an article."""
+    story, ad = "This is the story itself, told at length.", '<div class="ad">Buy</div><div class="sidebar-left">links</div>'
+    for name in ("no-sidebar", "has-sidebar", "comments-closed", "page-header-wrap", "content-widget"):
+        for page in ("<div class='{0}'>{2}<article><p>{1}</p></article></div>", "{2}<article class='{0}'><p>{1}</p></article>", "<article><h1>T</h1><div id='{0}'><p>{1}</p></div></article>{2}", "<div class='{0}'><p>{1}</p>{2}</div>"):
+            assert text(f"<body>{page.format(name, story, ad)}</body>") in (story, f"T\n\n{story}"), (name, page)
+    assert text(f"<div class='widget'><p>{story}</p></div>") == story and text(f"<div class='widget'><article>{story}</article></div>") == story
+    cards = "<div class='related'><article>A card</article></div><section id='comments'><article class='comment'>Nice</article></section>"
+    assert text(f"<body><div class='no-sidebar'><p>{story}</p></div>{cards}</body>") == story
+    assert text(f"<article>Short</article><div class='ad'>{story}</div>") == "Short"
