@@ -1,6 +1,6 @@
 """Secret scans whose false positives a random forest removes (DataFrame and SQL functions only).
 
-A pattern finds candidates (long runs with a digit, and quoted values after ``=`` or ``:``); splitting the text by the same
+A pattern finds candidates (long runs with a digit, values after ``=``, ``:`` or a hint word, passwords in addresses); splitting the text by the same
 pattern gives what stands around each.  A forest trained on labelled findings judges a candidate by its
 length, character transitions, dictionary coverage, path and neighbouring words.  The trained trees become one
 SQL expression, so scanning is a projection: no shuffle, no Python, a text's candidates stay in its row.
@@ -16,7 +16,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"""(?<=[=:]\s{0,2}["'])[^\s"']{8,}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"""
+#: In this order: the password of an address; a quoted value and a bare one after ``=`` or ``:``; a value after a hint word; a
+#: long run with a digit.  A bare value ends where the next name and value begin.  Short lookbehinds first, as they rule most places out.
+CANDIDATE = (
+    r"""(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@"']{3,}+(?=@)"""
+    r"""|(?<=["'])(?<=[=:]>?\s{0,8}["'])[^\s"']{6,}+"""
+    r"""|(?<=[=:>\s])(?<=[=:]>?\s{0,8})(?!//)(?:(?![&;,]\w{1,40}[=:])[^\s"'=:>]|(?<=[^\s=:>])[=:>](?!//)){6,}+"""
+    r"""|(?<=\s)(?<=\b(?i:passw(?:or)?d|pwd|passphrase|token|secret|bearer|credentials?|api_?key|key|auth)\s{1,2})[^\s"'=:][^\s"'=:]{5,}+"""
+    r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"""
+)
 #: Characters of the text before and after a candidate that are looked at.
 BEFORE, AFTER = 60, 30
 TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 20, 6, 7, 1600, 0.5
@@ -36,7 +44,7 @@ DICTIONARY = (
     "source stack start state static status storage stream string style submit summary support switch system table target task template test text theme thread time title "
     "token tool total tree type update upload user util value vector version video view visit warning web widget width window word work write your"
 )
-HINTS = r"(?i)(key|token|secret|passw|pwd|auth|credential|bearer|private)[^\n]{0,24}$"
+HINTS = r"(?i)(key|token|secret|passw|pwd|passphrase|auth|credential|bearer|private)[^\n]{0,24}$|://[^\s/:@]{0,64}:$"
 HARMLESS = r"(?i)\b(example|sample|dummy|placeholder|sha-?\d*|commit|checksum|md5|uuid|guid|hash|revision|digest|version|isbn|order|invoice|phone|card|etag|build|image|file|path|integrity|changeme)\b"
 KNOWN = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|AIza|eyJ)"
 FEATURES = ("length", "transitions", "digits", "distinct", "dictionary", "path", "hint", "harmless", "assigned", "hexadecimal", "known", "run")
@@ -59,7 +67,7 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
         n - F.length(F.translate(candidate, "/\\.", "")) + yes(before, r"[/\\.@#?&]$"),
         yes(before, HINTS),
         yes(F.concat(before, F.lit(" "), after), HARMLESS),
-        yes(before, r"[=:]\s{0,2}[\"']?$"),
+        yes(before, r"[=:]>?\s{0,8}[\"']?$"),
         yes(candidate, "^[0-9a-fA-F]+$"),
         yes(candidate, KNOWN),
         yes(F.lower(candidate), r"(.)\1{4}|1234567|abcdef[^0-9]"),
@@ -73,6 +81,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     hexes = lambda k: "".join(r.choices("0123456789abcdef", k=k))
     mixed = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k - 1)) + r.choice("0123456789")
     some = lambda k: [r.choice(words) for _ in range(k)]
+    letters = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if r.random() < 0.5 else "abcdefghijklmnopqrstuvwxyz", k=k))
+    spoken = lambda: "".join(r.choice("bcdfghlmnprstvw") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s"]) for _ in range(r.randint(3, 5))) + r.choice(["", "ing", "ed", ",", "."])
+    short = lambda: r.choice([lambda: mixed(r.randint(7, 12)), lambda: mixed(r.randint(5, 7)) + r.choice("!#$%*^") + mixed(r.randint(3, 5)), lambda: spoken().rstrip(",.")[:8] + str(r.randint(1, 9999)) + letters(r.randint(0, 3)).lower()])()
+    code = lambda: r.choice([lambda: ".".join(some(2)) + "_".join(some(2)) + r.choice(["()", "();", "(user)"]), lambda: "${" + "_".join(some(2)).upper() + "}", lambda: "<" + "_".join(some(2)) + ">", lambda: r.choice("*x.-") * r.randint(6, 12), lambda: "_".join(some(2)), lambda: r.choice(words).title() + r.choice(words).title()])()
     out = []
     for i in range(n):
         lead = " ".join(some(r.randint(0, 5))) + r.choice(["", "\n", " "])
@@ -85,6 +97,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
                 before = lead
             if r.random() < 0.2 and not value.startswith(("AKIA", "ghp_", "sk-")):
                 value, before = value.upper(), before.upper()
+            if i % 8 == 1:  # bare values
+                value, before = r.choice([short, short, lambda: letters(r.randint(16, 32))])(), lead + r.choice(["DB_PASSWORD=", "password: ", "passwd=", "pwd: ", "api_key=", "token: ", "secret=", "password ", "AUTH_TOKEN=", "password=", "client_secret: "])
+            elif i % 16 == 3:  # addresses
+                value, before, tail = short(), lead + r.choice(["postgres", "https", "mysql", "redis", "amqp", "ftp"]) + "://" + r.choice([*some(1), "u", ""]) + ":", f"@{r.choice(words)}/{r.choice(words)}"
             out.append((value, before, tail, 1))
         else:
             value, before = r.choice([
@@ -102,6 +118,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
                 lambda: ("".join(some(2)), lead + r.choice(['password = "', "secret: '", 'key="'])),
                 lambda: (r.choice(["https://", "http://www."]) + "/".join(some(3)), lead + r.choice(['href="', 'url = "', 'src: "'])),
             ])()
+            if i % 8 == 2:  # bare values: prose, code and what no hint stands before
+                named = lead + r.choice(["password: ", "token = ", "key: ", "secret=", "the key ", "secret ", "auth: ", "token ", "password = "])
+                plain = lead + r.choice(["note", "see", "at 10", "width", "id", "x", *some(2)]) + r.choice([": ", "=", ":", " = "])
+                value, before = r.choice([lambda: (spoken(), named), lambda: (r.choice(words) + r.choice(words), named), lambda: (code(), named), lambda: (spoken(), plain), lambda: (code(), plain), lambda: (short(), plain), lambda: (f"{r.randint(10, 59)}:{r.randint(10, 59)}:{r.randint(10, 59)}", plain)])()
             out.append((value, before, tail, 0))
     return [(v, b[-BEFORE:], a[:AFTER], y) for v, b, a, y in out]
 

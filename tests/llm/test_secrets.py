@@ -58,3 +58,13 @@ def test_same_forest_again(spark, forest):
 def test_native(docs, forest):
     plan = S.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_bare_values_and_addresses(spark, forest):
+    """Secrets without quotes, digits or length, and prose and code at the same places."""
+    df = ["DB_PASSWORD=Xy7!kd92mQ", "password: hunter2abc", "api_key=qhTzWnbLrKpvXcMdJsGyFaRe", "postgres://u:S3cr3tPw@host/db", "login?user=joe&token=k3Jx92LmQ7&next=home", "password     =>   'p4Xk9q'", "use password tr0ub4dor3 today"]
+    got = scan(spark, forest, *df, "The key: understanding people", "a secret meeting tonight", "note: something else", "token = request.get_token()", "at 10:30:00 https://example.org:8080/index/page", "password = ${DB_PASSWORD}")
+    found = {k for k, v in got.items() if v}
+    assert found == {(0, "Xy7!kd92mQ"), (1, "hunter2abc"), (2, "qhTzWnbLrKpvXcMdJsGyFaRe"), (3, "S3cr3tPw"), (4, "k3Jx92LmQ7"), (5, "p4Xk9q"), (6, "tr0ub4dor3")}, got
+    text = S.redacted(spark.createDataFrame([(1, df[3])], "doc_id long, text string"), forest).first().text
+    assert text == f"postgres://u:{S.MASK}@host/db"
