@@ -97,9 +97,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
                 before = lead
             if r.random() < 0.2 and not value.startswith(("AKIA", "ghp_", "sk-")):
                 value, before = value.upper(), before.upper()
-            if i % 8 == 1:  # bare values
+            known = value.startswith(("AKIA", "ghp_", "sk-"))
+            if i % 8 == 1 and not known:  # bare values
                 value, before = r.choice([short, short, lambda: letters(r.randint(16, 32))])(), lead + r.choice(["DB_PASSWORD=", "password: ", "passwd=", "pwd: ", "api_key=", "token: ", "secret=", "password ", "AUTH_TOKEN=", "password=", "client_secret: "])
-            elif i % 16 == 3:  # addresses
+            elif i % 16 == 3 and not known:  # addresses
                 value, before, tail = short(), lead + r.choice(["postgres", "https", "mysql", "redis", "amqp", "ftp"]) + "://" + r.choice([*some(1), "u", ""]) + ":", f"@{r.choice(words)}/{r.choice(words)}"
             out.append((value, before, tail, 1))
         else:
