@@ -5,11 +5,7 @@ from __future__ import annotations
 import math
 import warnings
 
-from ..errors import require
-
-
-def _rate(x: float, name: str) -> None:
-    require(math.isfinite(x) and 0 < x < 1, f"{name} must be finite and strictly between 0 and 1")
+from ..errors import open_fraction, positive, require, within
 
 
 def _half_up(x: float) -> int:
@@ -17,14 +13,13 @@ def _half_up(x: float) -> int:
 
 
 def bloom_bits(items: int, rate: float) -> int:
-    require(items > 0, "expected_items must be greater than zero")
-    _rate(rate, "false_positive_rate")
+    positive(items=items)
+    open_fraction(rate=rate)
     return max(1, math.ceil(-items * math.log(rate) / math.log(2) ** 2))
 
 
 def bloom_hashes(bits: int, items: int) -> int:
-    require(bits > 0, "bit_len must be greater than zero")
-    require(items > 0, "expected_items must be greater than zero")
+    positive(bits=bits, items=items)
     return max(1, _half_up(bits / items * math.log(2)))
 
 
@@ -38,15 +33,15 @@ def cuckoo_bound(bits: int) -> float:
 
 
 def cuckoo_buckets(items: int) -> int:
-    require(items > 0, "expected_items must be greater than zero")
+    positive(items=items)
     n = next_power_of_two(max(2, -(-items // 4)))
     return 2 * n if items / (4 * n) > 0.96 else n
 
 
 def cuckoo_bits(rate: float) -> int:
-    _rate(rate, "false_positive_rate")
+    open_fraction(rate=rate)
     found = next((b for b in range(6, 17) if cuckoo_bound(b) <= rate), 0)
-    require(found > 0, "false_positive_rate requires fingerprints wider than 16 bits")
+    require(found > 0, f"rate={rate!r} is out of reach of 16 bits")
     return found
 
 
@@ -55,7 +50,7 @@ def next_power_of_two(n: int) -> int:
 
 
 def hll_precision(p: int) -> int:
-    require(4 <= p <= 18, "precision must be in the inclusive range [4, 18]")
+    within(4, 18, p=p)
     return p
 
 
@@ -64,9 +59,9 @@ def hll_error(p: int) -> float:
 
 
 def hll_for_error(target: float) -> int:
-    require(math.isfinite(target) and target > 0, "relative error must be finite and positive")
+    open_fraction(target=target)
     found = next((p for p in range(4, 19) if hll_error(p) <= target), 0)
-    require(found > 0, "relative error requires a precision above 18")
+    require(found > 0, f"target={target!r} is out of reach of p=18")
     return found
 
 
@@ -75,7 +70,7 @@ ULL_FACTORS = {"fgra": math.sqrt(0.6118931496978437), "mle": 0.7608621002725182}
 
 
 def ull_precision(p: int) -> int:
-    require(3 <= p <= 26, "precision must be in the inclusive range [3, 26]")
+    within(3, 26, p=p)
     return p
 
 
@@ -84,25 +79,25 @@ def ull_error(p: int, estimator: str = "fgra") -> float:
 
 
 def ull_for_error(target: float, estimator: str = "fgra") -> int:
-    require(math.isfinite(target) and target > 0, "relative error must be finite and positive")
+    open_fraction(target=target)
     found = next((p for p in range(3, 27) if ull_error(p, estimator) <= target), 0)
-    require(found > 0, "relative error requires a precision above 26")
+    require(found > 0, f"target={target!r} is out of reach of p=26")
     return found
 
 
 def minhash_for_error(error: float) -> int:
-    require(math.isfinite(error) and error > 0, "standard error must be finite and positive")
+    require(math.isfinite(error) and error > 0, f"error={error!r}, wanted: above 0")
     return max(1, math.ceil((0.5 / error) ** 2))
 
 
 def minhash_worst_error(k: int) -> float:
-    require(k > 0, "num_hashes must be greater than zero")
+    positive(k=k)
     return 0.5 / math.sqrt(k)
 
 
 def minhash_error_at(k: int, jaccard: float) -> float:
-    require(k > 0, "num_hashes must be greater than zero")
-    require(math.isfinite(jaccard) and 0 <= jaccard <= 1, "jaccard must be finite and between zero and one")
+    positive(k=k)
+    within(0, 1, jaccard=jaccard)
     return math.sqrt(jaccard * (1 - jaccard) / k)
 
 
@@ -112,26 +107,24 @@ def minhash_expected_error(k: int) -> float:
 
 
 def lsh_rows(hashes: int, bands: int) -> int:
-    require(hashes > 0, "num_hashes must be greater than zero")
-    require(0 < bands <= hashes, "bands must be in the inclusive range [1, num_hashes]")
-    require(hashes % bands == 0, "num_hashes must be divisible by bands")
+    positive(hashes=hashes, bands=bands)
+    require(hashes % bands == 0, f"{hashes} hashes can't be dealt to {bands} bands evenly")
     return hashes // bands
 
 
 def lsh_probability(similarity: float, bands: int, rows: int) -> float:
-    require(math.isfinite(similarity) and 0 <= similarity <= 1, "similarity must be finite and between zero and one")
+    within(0, 1, similarity=similarity)
     band = similarity**rows
     return 1.0 if band == 1 else -math.expm1(bands * math.log1p(-band))
 
 
 def lsh_similarity(probability: float, bands: int, rows: int) -> float:
-    require(math.isfinite(probability) and 0 <= probability <= 1, "probability must be finite and between zero and one")
+    within(0, 1, probability=probability)
     return 1.0 if probability == 1 else (-math.expm1(math.log1p(-probability) / bands)) ** (1 / rows)
 
 
 def count_min_size(epsilon: float, delta: float) -> tuple[int, int]:
-    _rate(epsilon, "epsilon")
-    _rate(delta, "delta")
+    open_fraction(epsilon=epsilon, delta=delta)
     return next_power_of_two(math.ceil(math.e / epsilon)), max(1, math.ceil(-math.log(delta)))
 
 
@@ -139,8 +132,7 @@ LN_16_7 = math.log(16 / 7)
 
 
 def count_sketch_size(epsilon: float, delta: float) -> tuple[int, int]:
-    _rate(epsilon, "epsilon")
-    _rate(delta, "delta")
+    open_fraction(epsilon=epsilon, delta=delta)
     depth = max(1, math.ceil(2 * math.log(1 / delta) / LN_16_7))
     depth += depth % 2 == 0
     while math.exp(-depth * LN_16_7 / 2) > delta:
@@ -153,11 +145,10 @@ def kll_rank_error(k: int, failure: float = 0.01) -> float:
 
 
 def kll_for_error(error: float, failure: float = 0.01) -> int:
-    _rate(error, "rank error")
-    _rate(failure, "failure probability")
+    open_fraction(error=error, failure=failure)
     return max(2, math.ceil(kll_rank_error(1, failure) / error))
 
 
 def tdigest_for_error(error: float) -> float:
-    _rate(error, "error")
+    open_fraction(error=error)
     return float(max(10, math.ceil(10 / error)))

@@ -7,13 +7,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import require
+from ..errors import positive
 from ..functions import hashing as H
 
 
 def sample(df: DataFrame, row_id: str, k: int, by: Sequence[str] = (), seed: int = H.RESERVOIR_RNG) -> DataFrame:
     """The k rows of each group with the smallest keys, with their ``rank`` from 1; keys depend on ``row_id`` alone."""
-    require(k > 0, "capacity must be greater than zero")
+    positive(k=k)
     keyed = H.with_hash(df, "_key", row_id, seed)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(H.unsigned(F.col("_key")), row_id))
     return keyed.withColumn("rank", rank).where(F.col("rank") <= k).drop("_key")
@@ -28,7 +28,7 @@ class Reservoir:
     """Algorithm R with a fixed generator."""
 
     def __init__(self, capacity: int):
-        require(capacity > 0, "capacity must be greater than zero")
+        positive(capacity=capacity)
         self.capacity, self.samples, self.seen, self.rng = capacity, [], 0, H.RESERVOIR_RNG
 
     def add(self, item) -> None:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import require, same
+from ..errors import positive, same
 from ..plans.aggregate import merge_states, summarise
 
 
@@ -17,7 +17,7 @@ class SpaceSaving:
     """Counters in buckets of equal count; of the smallest the one that changed last gives way."""
 
     def __init__(self, capacity: int):
-        require(capacity > 0, "capacity must be greater than zero")
+        positive(capacity=capacity)
         self.capacity, self.total = capacity, 0
         self.entries: dict = {}  # item -> [count, error]
         self.buckets: dict[int, dict] = {}  # count -> its items, oldest first
@@ -61,7 +61,7 @@ class SpaceSaving:
         return self.low if len(self.entries) >= self.capacity else 0
 
     def merge(self, other: SpaceSaving) -> None:
-        same(self.capacity == other.capacity, "capacity must match for merge")
+        same(self.capacity == other.capacity, f"capacities {self.capacity} and {other.capacity}")
         mine, its = self.untracked, other.untracked
         both = {}
         for x in self.entries.keys() | other.entries.keys():
@@ -113,7 +113,7 @@ def _sortable(x):
 
 def build(df: DataFrame, item: str, capacity: int, by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """by..., item, count, error, capacity: the entries.  Null items are skipped."""
-    require(capacity > 0, "capacity must be greater than zero")
+    positive(capacity=capacity)
     whole = dict(df.dtypes)[item] in ("tinyint", "smallint", "int", "bigint")
     rows = df.select(*by, F.col(item).cast("long" if whole else "string").alias("_v"), *order)
     return entries(summarise(rows, by, ["_v"], lambda pid: SpaceSaving(capacity), SpaceSaving.load, order), by, whole)
@@ -149,7 +149,7 @@ def merge(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFram
     for side, name in ((left, "am"), (right, "bm")):
         both = both.withColumn("_one", F.lit(1)).join(least(side, name).withColumn("_one", F.lit(1)), [*by, "_one"], "left").drop("_one")
     fits = F.col("am_capacity").isNull() | F.col("bm_capacity").isNull() | (F.col("am_capacity") == F.col("bm_capacity"))
-    capacity = F.when(fits, F.coalesce("am_capacity", "bm_capacity")).otherwise(F.raise_error(F.lit("incompatible sketches: capacity must match for merge")).cast("int"))
+    capacity = F.when(fits, F.coalesce("am_capacity", "bm_capacity")).otherwise(F.raise_error(F.lit("states do not fit together: their capacities differ")).cast("int"))
     part = lambda x, m: F.coalesce(x, m, F.lit(0))
     out = both.select(*keys, (part("ac", "am") + part("bc", "bm")).alias("count"), (part("ae", "am") + part("be", "bm")).alias("error"), capacity.alias("capacity"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("count").desc(), "item"))

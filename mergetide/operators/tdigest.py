@@ -1,4 +1,9 @@
-"""t-digests: centroids that are small at the ends of the distribution, with exact extremes."""
+"""t-digests: centroids that are small at the ends of the distribution, with exact extremes.
+
+After Dunning's merging digest: centroids and new values are sorted together, cut into runs whose weight is bounded by
+``4 * N / compression * q * (1 - q)`` at the middle of the run, and each run becomes a centroid.  Between centroids the
+distribution is a line through their middles; a centroid of one value is a step.
+"""
 
 from __future__ import annotations
 
@@ -15,122 +20,115 @@ from ..errors import require, same
 from ..plans.aggregate import merge_states, summarise
 from .kll import check_quantile, order_key
 
+#: Values that wait for the next compression, as a multiple of it.
 BUFFER = 10
 
 
-def between(a: float, b: float, t: float) -> float:
-    """``a + t * (b - a)`` without overflow, never outside a and b."""
-    if t <= 0:
-        return a
-    if t >= 1:
-        return b
-    x = a + (b - a) * t if math.copysign(1, a) == math.copysign(1, b) else a * (1 - t) + b * t
-    return min(max(x, min(a, b)), max(a, b))
-
-
-def mean(a: float, wa: float, b: float, wb: float) -> float:
-    """Weighted mean; of two weights that are not positive, the middle."""
-    if wa <= 0 or wb <= 0:
-        return between(a, b, 0.5 if wa <= 0 and wb <= 0 else float(wa <= 0))
-    ratio = wb / wa if wa >= wb else wa / wb
-    return between(a, b, ratio / (1 + ratio) if wa >= wb else 1 / (1 + ratio))
+def blend(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The point at ``t`` between a <= b, as a convex sum, which can't overflow."""
+    return np.clip(a * (1 - t) + b * t, a, b)
 
 
 class TDigest:
     def __init__(self, compression: float):
-        require(math.isfinite(compression) and compression >= 10, "compression must be finite and at least 10")
-        self.compression, self.centroids, self.buffer = float(compression), [], []
+        require(math.isfinite(compression) and compression >= 10, f"compression={compression!r}, wanted: 10 or more")
+        self.compression = float(compression)
+        self.clear()
+
+    def clear(self) -> None:
+        self.means, self.weights = np.empty(0), np.empty(0)
+        self.buffer: list[float] = []
         self.total, self.low, self.high = 0.0, math.inf, -math.inf
 
     def add(self, values) -> None:
+        """Finite values; the state doesn't depend on how they are cut into calls."""
         values = np.asarray(values, float)
         values = values[np.isfinite(values)]
         if not len(values):
             return
         self.low, self.high = min(self.low, float(values.min())), max(self.high, float(values.max()))
-        self._take([(x, 1.0) for x in values.tolist()])
-
-    def _take(self, pairs: list[tuple[float, float]]) -> None:
-        limit, at = math.ceil(self.compression * BUFFER), 0
-        while at < len(pairs):
-            part = pairs[at : at + limit - len(self.buffer)]
-            self.buffer += part
-            self.total += math.fsum(w for _, w in part) if any(w != 1 for _, w in part) else len(part)
-            at += len(part)
-            if len(self.buffer) >= limit:
+        most, at = math.ceil(self.compression * BUFFER), 0
+        while at < len(values):
+            taken = values[at : at + most - len(self.buffer)]
+            self.buffer += taken.tolist()
+            self.total += len(taken)
+            at += len(taken)
+            if len(self.buffer) == most:
                 self.compress()
 
-    def ordered(self) -> list[tuple[float, float]]:
-        """Centroids and buffered values by mean; equal means in order of age."""
-        pairs = self.centroids + self.buffer
-        order = np.argsort(order_key(np.array([m for m, _ in pairs], float)), kind="stable") if pairs else []
-        return [pairs[i] for i in order]
+    def centroids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and weights in order, waiting values among them."""
+        means, weights = np.append(self.means, self.buffer), np.append(self.weights, np.ones(len(self.buffer)))
+        order = np.argsort(order_key(means), kind="stable")
+        return means[order], weights[order]
 
     def compress(self) -> None:
-        if not self.buffer and len(self.centroids) <= 1:
-            return
-        out, before, total = [], 0.0, max(self.total, 1.0)
-        last, weight = None, 0.0
-        for m, w in self.ordered():
-            if last is not None:
-                q = min(max((before + weight / 2) / total, 0.0), 1.0)
-                if weight + w <= max(self.total / self.compression * 4 * q * (1 - q), 1.0):
-                    last, weight = mean(last, weight, m, w), weight + w
-                    continue
-                out.append((last, weight))
-                before += weight
-            last, weight = m, w
-        self.centroids, self.buffer = [*out, (last, weight)], []
+        means, weights = self.centroids()
+        if len(means):
+            self._cluster(means, weights)
+        self.buffer = []
+
+    def _cluster(self, means: np.ndarray, weights: np.ndarray) -> None:
+        edges = np.append(0.0, np.cumsum(weights)).tolist()
+        scale, starts, begin = 4 * self.total / self.compression, [0], 0.0
+        for i in range(1, len(means)):
+            middle = (begin + edges[i + 1]) / (2 * self.total)
+            if edges[i + 1] - begin > max(1.0, scale * middle * (1 - middle)):
+                starts.append(i)
+                begin = edges[i]
+        sums = np.add.reduceat(weights, starts)
+        share = weights / np.repeat(sums, np.diff([*starts, len(means)]))
+        with np.errstate(over="ignore"):
+            centre = np.add.reduceat(means * share, starts)
+        self.means = np.clip(centre, np.minimum.reduceat(means, starts), np.maximum.reduceat(means, starts))
+        self.weights = sums
 
     def merge(self, other: TDigest) -> None:
-        same(abs(self.compression - other.compression) <= 2.220446049250313e-16, "compression must match for merge")
-        self.low, self.high = min(self.low, other.low), max(self.high, other.high)
-        self._take(other.ordered())
+        same(math.isclose(self.compression, other.compression, rel_tol=0, abs_tol=1e-12), f"compression is {self.compression} here and {other.compression} there")
+        self.low, self.high, self.total = min(self.low, other.low), max(self.high, other.high), self.total + other.total
+        means, weights = other.centroids()
+        self.means, self.weights = np.append(self.means, means), np.append(self.weights, weights)
         self.compress()
 
-    def quantile(self, q: float) -> float:
-        check_quantile(q)
-        pairs = self.ordered()
-        require(len(pairs) > 0, "quantile is undefined for an empty digest")
-        if q in (0, 1):
-            return self.high if q else self.low
-        if len(pairs) == 1:
-            return pairs[0][0]
-        at, (first, wf), (final, wl) = q * self.total, pairs[0], pairs[-1]
-        if at < 1:
-            return self.low
-        if wf > 2 and at < wf / 2:
-            return between(self.low, first, min(max((at - 1) / (wf / 2 - 1), 0.0), 1.0))
-        if at > self.total - 1:
-            return self.high
-        right = self.total - at
-        if wl > 2 and right <= wl / 2:
-            return between(self.high, final, min(max((right - 1) / (wl / 2 - 1), 0.0), 1.0))
-        upto = wf / 2
-        for (a, wa), (b, wb) in zip(pairs, pairs[1:]):
-            gap = (wa + wb) / 2
-            if upto + gap > at:
-                after, ahead = at - upto, upto + gap - at
-                if wa == 1 and after < 0.5:
-                    return a
-                if wb == 1 and ahead <= 0.5:
-                    return b
-                return mean(a, ahead - (0.5 if wb == 1 else 0), b, after - (0.5 if wa == 1 else 0))
-            upto += gap
-        return self.high
+    def _knots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions among the sorted values and the values there: both edges of single values, middles of larger centroids, and the extremes."""
+        means, weights = self.centroids()
+        end = np.cumsum(weights)
+        begin, single = end - weights, weights == 1
+        middle = begin + weights / 2
+        at = np.stack([np.where(single, begin, middle), np.where(single, end, middle)], axis=1).ravel()
+        first, last = ([1.0], [self.low]) if not single[0] else ([], []), ([self.total - 1], [self.high]) if not single[-1] else ([], [])
+        return np.concatenate([first[0], at, last[0]]), np.concatenate([first[1], np.repeat(means, 2), last[1]])
+
+    def quantiles(self, queries: Sequence[float]) -> list[float]:
+        for q in queries:
+            check_quantile(q)
+        if not len(queries):
+            return []
+        require(self.total > 0, "a quantile of no values at all")
+        x, v = self._knots()
+        q = np.asarray(queries, float)
+        at = q * self.total
+        i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+        width = x[i + 1] - x[i]
+        t = np.clip(np.where(width > 0, (at - x[i]) / np.where(width > 0, width, 1), at >= x[i + 1]), 0, 1)
+        out = blend(v[i], v[i + 1], t)
+        out = np.where((at < 1) | (q == 0), self.low, out)
+        return np.where((at > self.total - 1) | (q == 1), self.high, out).tolist()
 
-    def clear(self) -> None:
-        self.__init__(self.compression)
+    def quantile(self, q: float) -> float:
+        return self.quantiles([q])[0]
 
     def dump(self) -> str:
-        return json.dumps({"compression": self.compression, "total": self.total, "extremes": [self.low, self.high] if self.total else None, "centroids": self.centroids, "buffer": self.buffer})
+        return json.dumps({"compression": self.compression, "total": self.total, "extremes": [self.low, self.high] if self.total else None, "centroids": list(zip(self.means.tolist(), self.weights.tolist())), "buffer": self.buffer})
 
     @staticmethod
     def load(text: str) -> TDigest:
         state = json.loads(text)
         out = TDigest(state["compression"])
         out.total, (out.low, out.high) = state["total"], state["extremes"] or (math.inf, -math.inf)
-        out.centroids, out.buffer = [tuple(x) for x in state["centroids"]], [tuple(x) for x in state["buffer"]]
+        out.means, out.weights = np.array(state["centroids"], float).reshape(-1, 2).T
+        out.buffer = state["buffer"]
         return out
 
 
@@ -150,7 +148,7 @@ def merge(*states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def describe(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by..., compression, count, centroids (merged and buffered)."""
+    """by..., compression, count, centroids (merged and waiting)."""
     get = lambda name: F.get_json_object("state", f"$.{name}")
     return states.select(*by, get("compression").cast("double").alias("compression"), get("total").cast("double").alias("count"), (F.json_array_length(get("centroids")) + F.json_array_length(get("buffer"))).alias("centroids"))
 
@@ -162,7 +160,7 @@ def quantiles(states: DataFrame, queries: Sequence[float], by: Sequence[str] = (
 
     @F.pandas_udf("array<double>")
     def ask(state: pd.Series) -> pd.Series:
-        return state.map(lambda s: [x.quantile(q) for q in queries] if (x := TDigest.load(s)).total else [None] * len(queries))
+        return state.map(lambda s: x.quantiles(queries) if (x := TDigest.load(s)).total else [None] * len(queries))
 
     rows = states.select(*by, F.posexplode(ask("state")).alias("_i", "value"))
     return rows.select(*by, F.element_at(F.array(*[F.lit(float(q)) for q in queries]), F.col("_i") + 1).alias("q"), "value")

@@ -41,5 +41,5 @@ def test_minhash_width_is_smallest():
     ],
 )
 def test_invalid(call):
-    with pytest.raises(InvalidParameterError, match="invalid parameter"):
+    with pytest.raises(InvalidParameterError, match="bad parameter"):
         call()
