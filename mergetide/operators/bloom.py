@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import require, same
+from ..errors import positive
 from ..functions import hashing as H
 from ..functions import sizing
+from . import dense, marks
 
 #: Words up to which a compact filter is broadcast; above it the probe joins bits.
 BROADCAST_WORDS = 1 << 20
@@ -25,25 +26,31 @@ class Bloom:
     hashes: int
 
     def __post_init__(self):
-        require(self.bits > 0, "bit_len must be greater than zero")
-        require(self.hashes > 0, "num_hashes must be greater than zero")
+        positive(bits=self.bits, hashes=self.hashes)
 
     @classmethod
     def for_items(cls, items: int, rate: float) -> Bloom:
         bits = sizing.bloom_bits(items, rate)
         return cls(bits, sizing.bloom_hashes(bits, items))
 
+    def _hashed(self, df: DataFrame, key: str) -> DataFrame:
+        return H.with_hash(H.with_hash(df, "_h1", key, H.BLOOM_SEED_A), "_h2", key, H.BLOOM_SEED_B)
+
+    def _bits(self) -> list[Column]:
+        """The bits of a key from its two hashes; call it where arithmetic wraps."""
+        h1, h2 = F.col("_h1"), F.col("_h2").bitwiseOR(F.lit(1).cast("long"))
+        return [H.unsigned_mod(h1 + h2 * F.lit(i).cast("long"), self.bits) for i in range(self.hashes)]
+
     def with_probes(self, df: DataFrame, key: str, out: str = "probes") -> DataFrame:
         """Adds the array of bits of a key (null for a null key)."""
-        df = H.with_hash(H.with_hash(df, "_h1", key, H.BLOOM_SEED_A), "_h2", key, H.BLOOM_SEED_B)
+        df = self._hashed(df, key)
         with H.wrapping(df.sparkSession):
-            h1, h2 = F.col("_h1"), F.col("_h2").bitwiseOR(F.lit(1).cast("long"))
-            probes = F.array(*[H.unsigned_mod(h1 + h2 * F.lit(i).cast("long"), self.bits) for i in range(self.hashes)])
-            return df.withColumn(out, F.when(h1.isNotNull(), probes)).drop("_h1", "_h2")
+            return df.withColumn(out, F.when(F.col("_h1").isNotNull(), F.array(*self._bits()))).drop("_h1", "_h2")
 
     def build(self, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
         """by..., bit: the set bits.  Null keys are skipped."""
-        return self.with_probes(df.select(*by, key), key).select(*by, F.explode("probes").alias("bit")).distinct()
+        rows = self.with_probes(df.select(*by, key), key).select(*by, F.explode("probes").alias("bit")).distinct()
+        return marks.mark(rows, "bit", bits=self.bits, hashes=self.hashes)
 
     def inserted(self, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
         """by..., inserted: the insertions, repeated ones included."""
@@ -51,18 +58,13 @@ class Bloom:
 
     @staticmethod
     def merge(*states: DataFrame) -> DataFrame:
-        out = states[0]
-        for s in states[1:]:
-            same(s.columns == out.columns, "states must have the same columns")
-            out = out.unionByName(s)
-        return out.distinct()
+        """The union of filters of the same size and number of hashes."""
+        return marks.union(states, "bit").distinct()
 
     def compact(self, state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """by..., words: long form -> array of 64-bit words, the empty ones too."""
         words = state.groupBy(*by, F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
-        m = words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
-        n = -(-self.bits // 64)
-        return m.select(*by, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
+        return dense.as_longs(words, by, F.col("w"), F.col("v"), -(-self.bits // 64), "words")
 
     @staticmethod
     def expand(compact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,14 +76,20 @@ class Bloom:
     def probe(self, df: DataFrame, key: str, state: DataFrame, out: str = "maybe") -> DataFrame:
         """Adds whether a key may be a member; false is certain, null keys give null.
 
-        A filter of at most BROADCAST_WORDS words is broadcast whole; a larger one is joined bit by bit for
-        the distinct keys.
+        A filter of at most BROADCAST_WORDS words is a scalar subquery, which each task gets once; a larger one is
+        joined bit by bit for the distinct keys.
         """
+        marks.check(state, "bit", bits=self.bits, hashes=self.hashes)
         if -(-self.bits // 64) <= BROADCAST_WORDS:
-            words = F.broadcast(self.compact(state).select(F.col("words").alias("_words"), F.lit(1).alias("_one")))
-            probed = self.with_probes(df, key, "_probes").withColumn("_one", F.lit(1)).join(words, "_one", "left").drop("_one")
-            hit = F.expr("forall(_probes, b -> (shiftrightunsigned(_words[cast(b >> 6 as int)], cast(b & 63 as int)) & 1L) = 1)")
-            return probed.withColumn(out, F.when(F.col("_probes").isNotNull(), F.coalesce(hit, F.lit(False)))).drop("_probes", "_words")
+            words = self.compact(state).select("words").scalar()
+            rows = self._hashed(df, key)
+            with H.wrapping(df.sparkSession):
+                rows = rows.withColumns({f"_b{i}": b for i, b in enumerate(self._bits())})
+            hit = F.lit(True)
+            for b in (F.col(f"_b{i}") for i in range(self.hashes)):
+                word = F.get(words, F.shiftright(b, 6).cast("int"))
+                hit &= F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+            return rows.withColumn(out, F.when(F.col("_h1").isNotNull(), hit)).drop("_h1", "_h2", *(f"_b{i}" for i in range(self.hashes)))
         keys = df.select(F.col(key).alias("_key")).where("_key is not null").distinct()
         probes = self.with_probes(keys, "_key").select("_key", F.explode(F.array_distinct("probes")).alias("bit"))
         found = probes.join(state, "bit", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_found"))

@@ -8,15 +8,18 @@ refused insertions depend on placement; :class:`Kernel` reproduces them, one tab
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..errors import require
+from ..errors import positive, power_of_two, require, within
 from ..functions import hashing as H
 from ..functions import sizing
+from . import marks
 
 SLOTS, MAX_KICKS, MAX_LOAD = 4, 500, 0.96
 
@@ -28,13 +31,12 @@ class Cuckoo:
     max_kicks: int = MAX_KICKS
 
     def __post_init__(self):
-        require(self.buckets > 0 and self.buckets & (self.buckets - 1) == 0, "bucket_count must be a non-zero power of two")
-        require(6 <= self.bits <= 16, "fingerprint_bits must be in the inclusive range [6, 16]")
-        require(self.max_kicks > 0, "max_kicks must be greater than zero")
+        power_of_two(buckets=self.buckets)
+        within(6, 16, bits=self.bits)
+        positive(max_kicks=self.max_kicks)
 
     @classmethod
     def for_items(cls, items: int, rate: float) -> Cuckoo:
-        require(items > 0, "expected_items must be greater than zero")
         return cls(sizing.cuckoo_buckets(items), sizing.cuckoo_bits(rate))
 
     @property
@@ -61,7 +63,39 @@ class Cuckoo:
     def build(self, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
         """by..., fp, pair, n.  Every row is an insertion; null keys are skipped."""
         placed = self.with_place(df.select(*by, key).where(F.col(key).isNotNull()), key)
-        return placed.groupBy(*by, "fp", "pair").agg(F.count(F.lit(1)).alias("n"))
+        return self._marked(placed.groupBy(*by, "fp", "pair").agg(F.count(F.lit(1)).alias("n")))
+
+    def _marked(self, state: DataFrame) -> DataFrame:
+        return marks.mark(state, "fp", buckets=self.buckets, bits=self.bits)
+
+    def _own(self, state: DataFrame) -> DataFrame:
+        return marks.check(state, "fp", buckets=self.buckets, bits=self.bits)
+
+    def insert(self, df: DataFrame, key: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+        """The rows of ``df`` with a key, and ``accepted``: whether a table of this size, which takes them in ``order``, has room.
+
+        Placement depends on all insertions before, so a table is one task's work; the tables of ``by`` run side by
+        side.  A task streams its rows and holds one table, whatever the number of rows.
+        """
+        spec = self
+        rows = df.where(F.col(key).isNotNull())
+        rows = H.with_hash(rows, "_h", key, H.CUCKOO_ITEM_SEED)
+        rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, *order)
+
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table, of = Kernel(spec), None
+            for batch in batches:
+                groups = batch[list(by)].itertuples(index=False, name=None) if by else iter([()] * len(batch))
+                accepted = []
+                for group, h in zip(groups, batch["_h"].tolist(), strict=True):
+                    name = tuple(None if x != x else x for x in group)
+                    if of is not None and name != of:
+                        table = Kernel(spec)
+                    of = name
+                    accepted.append(table.insert(h & H.MASK))
+                yield batch.drop(columns="_h").assign(accepted=accepted)
+
+        return rows.mapInPandas(fill, StructType([*df.schema, StructField("accepted", BooleanType())]))
 
     def load(self, state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """by..., inserted, load_factor, overfull: overfull pairs hold more than their buckets can."""
@@ -69,6 +103,7 @@ class Cuckoo:
         return state.groupBy(*by).agg(F.sum("n").alias("inserted"), (F.sum("n") / F.lit(float(SLOTS * self.buckets))).alias("load_factor"), F.count(F.when(F.col("n") > room, 1)).alias("overfull"))
 
     def probe(self, df: DataFrame, key: str, state: DataFrame, out: str = "maybe") -> DataFrame:
+        self._own(state)
         placed = self.with_place(df, key)
         hit = state.where("n > 0").select(F.col("fp").alias("_fp"), F.col("pair").alias("_pair"), F.lit(True).alias("_hit"))
         joined = placed.join(hit, (F.col("fp") == F.col("_fp")) & (F.col("pair") == F.col("_pair")), "left")
@@ -76,13 +111,12 @@ class Cuckoo:
 
     @staticmethod
     def merge(*states: DataFrame) -> DataFrame:
-        out = states[0]
-        for s in states[1:]:
-            out = out.unionByName(s)
+        out = marks.union(states, "fp")
         return out.groupBy(*[c for c in out.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
     def delete(self, state: DataFrame, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
         """Take away one copy for each row of ``df``, as far as there are any."""
+        self._own(state)
         gone = self.build(df, key, by).withColumn("n", -F.col("n"))
         return self.merge(state, gone).where("n > 0")
 
@@ -146,7 +180,7 @@ class Kernel:
 
     def unpack(self, data: bytes) -> None:
         size, bits = -(-SLOTS * self.spec.bits // 8), self.spec.bits
-        require(len(data) == size * self.spec.buckets, "packed table has another size")
+        require(len(data) == size * self.spec.buckets, f"{len(data)} bytes of a packed table, wanted: {size * self.spec.buckets}")
         words = [int.from_bytes(data[i : i + size], "little") for i in range(0, len(data), size)]
         self.table = [[w >> bits * i & ((1 << bits) - 1) for i in range(SLOTS)] for w in words]
         self.inserted = sum(x > 0 for b in self.table for x in b)

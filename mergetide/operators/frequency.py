@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import require, same
+from ..errors import positive, power_of_two, require
 from ..functions import hashing as H
 from ..functions import sizing
+from . import marks
 
 
 def _wide(stream: Iterator[int]) -> int:
@@ -34,8 +35,8 @@ class Table:
     seed: int
 
     def __post_init__(self):
-        require(self.width > 0 and self.width & (self.width - 1) == 0, "width must be a non-zero power of two")
-        require(self.depth > 0, "depth must be greater than zero")
+        power_of_two(width=self.width)
+        positive(depth=self.depth)
 
     @property
     def bits(self) -> int:
@@ -46,12 +47,21 @@ class Table:
         df = df.withColumn("_x", H.key64(df, key)).withColumn("_r", F.explode(rows))
         return H.with_multiply_shift(df, "col", "_x", F.col("_r.a"), F.col("_r.b"), self.bits).withColumn("row", F.col("_r.row"))
 
+    @property
+    def _parameters(self) -> dict:
+        return {"kind": type(self).__name__, "width": self.width, "depth": self.depth, "seed": self.seed}
+
+    def _own(self, state: DataFrame) -> DataFrame:
+        return marks.check(state, "col", **self._parameters)
+
+    def _marked(self, state: DataFrame) -> DataFrame:
+        return marks.mark(state, "col", **self._parameters)
+
     def merge(self, *states: DataFrame) -> DataFrame:
         """Cell-wise sum of tables with the same shape and seed."""
-        out = states[0]
-        for s in states[1:]:
-            same(s.columns == out.columns, "states must have the same columns")
-            out = out.unionByName(s)
+        for s in states:
+            self._own(s)
+        out = marks.union(states, "col")
         return out.groupBy(*[c for c in out.columns if c != "c"]).agg(F.sum("c").alias("c"))
 
 
@@ -73,7 +83,7 @@ class CountMin(Table):
         n = F.lit(1).cast("long") if count is None else F.col(count).cast("long")
         rows = df.select(*by, key, n.alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") > 0))
         rows = rows.groupBy(*by, key).agg(F.sum("_n").alias("_n"))
-        return self.locate(rows, key).groupBy(*by, "row", "col").agg(F.sum("_n").alias("c"))
+        return self._marked(self.locate(rows, key).groupBy(*by, "row", "col").agg(F.sum("_n").alias("c")))
 
     @staticmethod
     def total(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,11 +110,11 @@ class CountMin(Table):
             if any(cells):
                 yield pd.DataFrame([(r, i, v) for r, c in enumerate(cells) for i, v in c.items()], columns=["row", "col", "c"])
 
-        return self.merge(dealt.sortWithinPartitions("_x").mapInPandas(fold, "row int, col long, c long"))
+        return self.merge(self._marked(dealt.sortWithinPartitions("_x").mapInPandas(fold, "row int, col long, c long")))
 
     def estimate(self, keys: DataFrame, key: str, state: DataFrame) -> DataFrame:
         """keys..., estimate: the smallest cell, 0 where one is empty.  A row for each distinct row of ``keys``."""
-        cells = self.locate(keys.distinct(), key).join(state, ["row", "col"], "left")
+        cells = self.locate(keys.distinct(), key).join(self._own(state), ["row", "col"], "left")
         return cells.groupBy(*keys.columns).agg(F.min(F.coalesce("c", F.lit(0).cast("long"))).alias("estimate"))
 
 
@@ -112,7 +122,7 @@ class CountMin(Table):
 class CountSketch(Table):
     def __post_init__(self):
         super().__post_init__()
-        require(self.depth % 2 == 1, "depth must be non-zero and odd")
+        require(self.depth % 2 == 1, f"depth={self.depth!r}, wanted: an odd number")
 
     @classmethod
     def for_error(cls, epsilon: float, delta: float, seed: int) -> CountSketch:
@@ -133,12 +143,12 @@ class CountSketch(Table):
         """by..., row, col, c.  A net sum beyond a long fails, as ``sum`` does in ANSI mode; so does the least long."""
         n = F.lit(1).cast("long") if delta is None else F.col(delta).cast("long")
         rows = df.select(*by, key, n.alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") != 0)).groupBy(*by, key).agg(F.sum("_n").alias("_n"))
-        least = F.raise_error(F.lit("Count Sketch counter update exceeds the exact i64 range")).cast("long")
+        least = F.raise_error(F.lit("overflow: the least long has no counterpart of the other sign")).cast("long")
         rows = rows.withColumn("_n", F.when(F.col("_n") == F.lit(H.MIN_LONG), least).otherwise(F.col("_n")))
-        return self.locate(rows, key).groupBy(*by, "row", "col").agg(F.sum(F.col("sign") * F.col("_n")).alias("c"))
+        return self._marked(self.locate(rows, key).groupBy(*by, "row", "col").agg(F.sum(F.col("sign") * F.col("_n")).alias("c")))
 
     def estimate(self, keys: DataFrame, key: str, state: DataFrame) -> DataFrame:
         """keys..., estimate: the median of the signed cells, empty ones 0.  A row for each distinct row of ``keys``."""
-        cells = self.locate(keys.distinct(), key).join(state, ["row", "col"], "left")
+        cells = self.locate(keys.distinct(), key).join(self._own(state), ["row", "col"], "left")
         values = F.sort_array(F.collect_list(F.col("sign") * F.coalesce("c", F.lit(0).cast("long"))))
         return cells.groupBy(*keys.columns).agg(values.alias("_v")).select(*keys.columns, F.col("_v")[self.depth // 2].alias("estimate"))

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import same
 from ..functions import estimators, sizing
 from ..functions import hashing as H
+from . import dense, marks
 from .relations import inclusion_exclusion
 
 
@@ -19,15 +19,12 @@ def registers(df: DataFrame, key: str, p: int, by: Sequence[str] = ()) -> DataFr
     sizing.hll_precision(p)
     rows = H.with_hash(df.select(*by, key).where(F.col(key).isNotNull()), "_h", key, H.HLL_SEED)
     rank = F.least(H.leading_zeros(F.shiftleft("_h", p)) + 1, F.lit(64 - p + 1))
-    return rows.groupBy(*by, F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx")).agg(F.max(rank).alias("rank"))
+    return marks.mark(rows.groupBy(*by, F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx")).agg(F.max(rank).alias("rank")), "idx", p=p)
 
 
 def merge(*states: DataFrame) -> DataFrame:
     """Register-wise maximum of states of one precision."""
-    out = states[0]
-    for s in states[1:]:
-        same(s.columns == out.columns, "states must have the same columns")
-        out = out.unionByName(s)
+    out = marks.union(states, "idx")
     return out.groupBy(*[c for c in out.columns if c != "rank"]).agg(F.max("rank").alias("rank"))
 
 
@@ -35,12 +32,29 @@ def rollup(state: DataFrame, by: Sequence[str]) -> DataFrame:
     """States of all prefixes of ``by``, from the finest states alone."""
     by = list(by)
     sets = [[F.col(c) for c in [*by[:i], "idx"]] for i in range(len(by), -1, -1)]
-    return state.groupingSets(sets, *by, "idx").agg(F.max("rank").alias("rank"))
+    return _over(state, sets, by)
+
+
+def cube(state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """States of all subsets of ``by``, from the finest states alone; null stands for what a row sums up."""
+    return grouping_sets(state, [[c for j, c in enumerate(by) if i >> j & 1] for i in range(1 << len(by))], by)
+
+
+def grouping_sets(state: DataFrame, sets: Sequence[Sequence[str]], by: Sequence[str]) -> DataFrame:
+    """States of the given subsets of ``by``."""
+    return _over(state, [[F.col(c) for c in [*s, "idx"]] for s in sets], by)
+
+
+def _over(state: DataFrame, sets: list, by: Sequence[str]) -> DataFrame:
+    out = state.groupingSets(sets, *by, "idx").agg(F.max("rank").alias("rank"))
+    mark = marks.read(state, "idx")
+    return marks.mark(out, "idx", **mark) if mark else out
 
 
 def estimate(state: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame:
     """by..., estimate: groups without registers do not appear, but one row does if ``by`` is empty."""
     q = 64 - sizing.hll_precision(p)
+    marks.check(state, "idx", p=p)
     histogram = state.groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("n"))
     entries = histogram.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "n"))).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
 
@@ -71,13 +85,10 @@ def relate(left: DataFrame, right: DataFrame, p: int) -> DataFrame:
 
 def compact(state: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame:
     """by..., p, registers: one binary of ``2**p`` bytes for each group."""
-    m = state.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", "rank"))).alias("m"))
-    digits = F.transform(F.sequence(F.lit(0), F.lit((1 << p) - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("m")[i], F.lit(0)).cast("long")), 2, "0"))
-    return m.select(*by, F.lit(p).alias("p"), F.unhex(F.array_join(digits, "")).alias("registers"))
+    marks.check(state, "idx", p=p)
+    return dense.as_binary(state, by, "idx", "rank", 1 << p, "registers").select(*by, F.lit(p).alias("p"), "registers")
 
 
 def expand(compact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by..., idx, rank."""
-    pairs = F.sequence(F.lit(0), F.length("registers") - 1)
-    rows = compact.select(*by, "registers", F.explode(pairs).alias("idx"))
-    return rows.select(*by, "idx", F.conv(F.hex(F.substring(F.col("registers"), F.col("idx") + 1, F.lit(1))), 16, 10).cast("int").alias("rank")).where("rank > 0")
+    return dense.from_binary(compact, by, "registers", "idx", "rank")

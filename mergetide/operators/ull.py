@@ -12,6 +12,7 @@ from ..errors import require, same
 from ..functions import estimators, sizing
 from ..functions import hashing as H
 from .hll import rounded
+from . import dense
 from .relations import inclusion_exclusion
 
 ESTIMATORS = {"fgra": estimators.ull_fgra, "mle": estimators.ull_mle}
@@ -66,7 +67,7 @@ def downsize(state: DataFrame, p: int, to: int) -> DataFrame:
 
 def merge(state: DataFrame, p: int, other: DataFrame, other_p: int) -> DataFrame:
     """Both at precision ``p``; ``other`` may be finer, not coarser."""
-    same(other_p >= p, "source precision must be at least the receiver precision")
+    same(other_p >= p, f"the other state has p={other_p}, which is coarser than p={p}")
     both = state.unionByName(downsize(other, other_p, p)).select(*_by(state), "idx", unpack(F.col("register")).alias("_bits"))
     return both.groupBy(*_by(state), "idx").agg(F.bit_or("_bits").alias("_prefix")).select(*_by(state), "idx", pack(F.col("_prefix")).alias("register"))
 
@@ -80,7 +81,7 @@ def merged(left: DataFrame, left_p: int, right: DataFrame, right_p: int) -> tupl
 
 def estimate(state: DataFrame, p: int, by: Sequence[str] = (), estimator: str = "fgra") -> DataFrame:
     """by..., estimate."""
-    require(estimator in ESTIMATORS, "estimator must be fgra or mle")
+    require(estimator in ESTIMATORS, f"estimator={estimator!r}, wanted: one of {sorted(ESTIMATORS)}")
     entries = state.groupBy(*by, "register").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("register", "n"))).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
     counts = F.concat(F.array(F.lit(1 << p) - F.col("used")), F.transform(F.sequence(F.lit(1), F.lit(255)), lambda r: F.coalesce(F.col("m")[r], F.lit(0).cast("long"))))
 
@@ -107,20 +108,15 @@ def relate(left: DataFrame, left_p: int, right: DataFrame, right_p: int) -> Data
 
 def to_state(state: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame:
     """by..., state: one binary of ``2**p`` register bytes for each group."""
-    m = state.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", "register"))).alias("m"))
-    digits = F.transform(F.sequence(F.lit(0), F.lit((1 << p) - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("m")[i], F.lit(0)).cast("long")), 2, "0"))
-    return m.select(*by, F.unhex(F.array_join(digits, "")).alias("state"))
+    return dense.as_binary(state, by, "idx", "register", 1 << p, "state")
 
 
 def from_state(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by..., p, idx, register; rows whose binary is no state raise an error when they are read."""
     n = F.length("state")
     p = F.log2(n.cast("double")).cast("int")
-    states = states.select(*by, "state", n.alias("_n"), p.alias("p"))
-    ok = (F.col("_n") >= 8) & (F.col("_n") <= 1 << 26) & (F.col("_n").bitwiseAND(F.col("_n") - 1) == 0)
-    rows = states.select(*by, "p", "state", ok.alias("_ok"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("idx"))
-    register = F.conv(F.hex(F.substring(F.col("state"), F.col("idx") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.withColumn("register", register)
-    valid = F.col("_ok") & ((F.col("register") == 0) | (F.col("register") >= 4 * F.col("p") - 4))
-    checked = F.when(valid, F.col("register")).otherwise(F.raise_error(F.lit("invalid parameter: not an UltraLogLog state")).cast("int"))
-    return rows.select(*by, "p", "idx", checked.alias("register")).where("register > 0")
+    sized = (n >= 8) & (n <= 1 << 26) & (n.bitwiseAND(n - 1) == 0)
+    wrong = F.raise_error(F.lit("bad parameter: not an UltraLogLog state"))
+    rows = states.select(*by, F.when(sized, p).otherwise(wrong.cast("int")).alias("p"), "state")
+    rows = dense.from_binary(rows, [*by, "p"], "state", "idx", "register")
+    return rows.withColumn("register", F.when(F.col("register") >= 4 * F.col("p") - 4, F.col("register")).otherwise(wrong.cast("int")))

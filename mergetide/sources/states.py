@@ -11,7 +11,7 @@ from ..errors import same
 
 def save(state: DataFrame, path: str, kind: str, **parameters) -> None:
     first = state.columns[0]
-    state.withMetadata(first, {"summary": json.dumps({"kind": kind, **parameters}, sort_keys=True)}).write.parquet(path)
+    state.withMetadata(first, {**state.schema[first].metadata, "summary": json.dumps({"kind": kind, **parameters}, sort_keys=True)}).write.parquet(path)
 
 
 def describe(spark: SparkSession, path: str) -> dict:

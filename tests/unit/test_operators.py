@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergetide.errors import IncompatibleSketchError, InvalidParameterError
+from mergetide.errors import IncompatibleStateError, InvalidParameterError
 from mergetide.functions import hashing as H
 from mergetide.functions import sizing
 from mergetide.functions.register import register
@@ -59,7 +59,7 @@ def test_distinct_counts(spark):
     assert hll.count_distinct(a, "v", 12).first()["count"] in range(9000, 11_000)
     for e in ("fgra", "mle"):
         assert ull.count_distinct(a, "v", 12, estimator=e).first()["count"] in range(9500, 10_500)
-    with pytest.raises(IncompatibleSketchError):
+    with pytest.raises(IncompatibleStateError):
         ull.merge(ull.registers(a, "v", 8), 8, ull.registers(a, "v", 6), 6)
     with pytest.raises(InvalidParameterError):
         hll.registers(a, "v", 19)
@@ -112,7 +112,7 @@ def test_frequencies(spark):
     assert 4500 <= got["hot-key"] <= 5500 and abs(got["unseen"]) < 500
     cancel = spark.createDataFrame([("a", 7), ("a", -7)], "k string, n int")
     assert s.build(cancel, "k", "n").where("c <> 0").count() == 0
-    with pytest.raises(Exception, match="i64|overflow|OVERFLOW"):
+    with pytest.raises(Exception, match="overflow|OVERFLOW"):
         s.build(spark.createDataFrame([("a", -(1 << 63))], "k string, n long"), "k", "n").collect()
     with pytest.raises(InvalidParameterError):
         frequency.CountSketch(8, 2, 1)
@@ -184,7 +184,7 @@ def test_states_are_stored_with_their_parameters(spark, tmp_path):
     path = str(tmp_path / "s")
     states.save(state, path, "hll", p=8)
     assert sorted(states.load(spark, path, "hll", p=8).collect()) == sorted(state.collect())
-    with pytest.raises(IncompatibleSketchError):
+    with pytest.raises(IncompatibleStateError):
         states.load(spark, path, "hll", p=9)
 
 
