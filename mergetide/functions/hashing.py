@@ -9,6 +9,7 @@ keep the mode they were analysed under, and the session's setting is put back at
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -72,16 +73,20 @@ def splitmix64_array(x: np.ndarray) -> np.ndarray:
 # columns
 
 
+_building = threading.RLock()
+
+
 @contextmanager
 def wrapping(spark: SparkSession):
-    """Arithmetic of expressions that are analysed inside wraps around."""
+    """Arithmetic of expressions that are analysed inside wraps around.  One thread at a time, so that none puts back what another has set."""
     name = "spark.sql.ansi.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    with _building:
+        before = spark.conf.get(name)
+        spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
 
 
 def long(x: int) -> Column:
@@ -97,12 +102,19 @@ def key64(df: DataFrame, column: str) -> Column:
 
 def with_mix(df: DataFrame, out: str, x: Column) -> DataFrame:
     """Adds ``out``, SplitMix64 of ``x``.  Each step is a column of its own, as Catalyst would repeat what is used twice."""
+    return with_mixes(df, {out: x})
+
+
+def with_mixes(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """:func:`with_mix` of several columns side by side."""
+    names = [(out, f"_{out}_a", f"_{out}_b") for out in columns]
+    scrambled = lambda c, bits, factor: F.col(c).bitwiseXOR(F.shiftrightunsigned(c, bits)) * long(factor)
     with wrapping(df.sparkSession):
-        a, b = f"_{out}_a", f"_{out}_b"
-        df = df.withColumn(a, x + long(INCREMENT))
-        df = df.withColumn(b, F.col(a).bitwiseXOR(F.shiftrightunsigned(a, 30)) * long(FACTOR_1))
-        df = df.withColumn(a, F.col(b).bitwiseXOR(F.shiftrightunsigned(b, 27)) * long(FACTOR_2))
-        return df.withColumn(out, F.col(a).bitwiseXOR(F.shiftrightunsigned(a, 31))).drop(a, b)
+        df = df.withColumns({a: columns[out] + long(INCREMENT) for out, a, _ in names})
+        df = df.withColumns({b: scrambled(a, 30, FACTOR_1) for _, a, b in names})
+        df = df.withColumns({a: scrambled(b, 27, FACTOR_2) for _, a, b in names})
+        df = df.withColumns({out: F.col(a).bitwiseXOR(F.shiftrightunsigned(a, 31)) for out, a, _ in names})
+    return df.drop(*(x for _, a, b in names for x in (a, b)))
 
 
 def with_hash(df: DataFrame, out: str, column: str, seed: int) -> DataFrame:

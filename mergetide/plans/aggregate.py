@@ -1,8 +1,8 @@
 """Two-phase aggregation with a kernel: states of partitions, then a merge tree.
 
 For summaries that depend on the order or on random choices.  Each task folds its rows into one small state for
-each group; states are merged in groups of ``FAN_IN`` partitions, then the results, so no task reads the
-states of all partitions however many there are.  Kernels have ``add(values)``, ``merge(other)``, ``dump()``
+each group; states are merged ``FAN_IN`` at a time over ``LEVELS`` levels, so no task reads more of them for a group
+as long as there are at most ``FAN_IN ** LEVELS``, about a million, partitions.  Kernels have ``add(values)``, ``merge(other)``, ``dump()``
 and a static ``load(text)``.
 """
 
@@ -15,7 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAN_IN = 32
+FAN_IN, LEVELS = 32, 4
+#: Tasks that rows are dealt to by their order.
+DEALT = 64
 #: Groups that a task holds at once before it gives their states out and starts anew.
 HELD = 2000
 
@@ -27,14 +29,14 @@ def _schema(df: DataFrame, by: Sequence[str], more: str) -> str:
 def summarise(df: DataFrame, by: Sequence[str], values: Sequence[str], new: Callable[[int], object], load: Callable[[str], object], order: Sequence[str] = ()) -> DataFrame:
     """by..., state.  ``new(partition)`` makes an empty kernel; rows with a null in ``values`` are skipped.
 
-    With ``order`` the rows are first dealt by group and sorted, so that reruns agree; a group then is one
-    task's, which suits many groups rather than one.  Without it, rows are taken as they are partitioned.
+    With ``order`` the rows are dealt to ``DEALT`` tasks by a hash of group and order and sorted there, so that reruns
+    agree and no group is one task's.  Without it, rows are taken as they are partitioned.
     """
     by, values = list(by), list(values)
     for v in values:
         df = df.where(F.col(v).isNotNull())
     if order:
-        df = (df.repartition(*by) if by else df.repartition(1)).sortWithinPartitions(*by, *order)
+        df = df.repartition(DEALT, *by, *order).sortWithinPartitions(*by, *order)
     rows = df.select(*by, *values)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,5 +73,6 @@ def merge_states(states: DataFrame, by: Sequence[str], load: Callable[[str], obj
             whole.merge(load(s))
         return part.iloc[:1].assign(state=whole.dump())[[*by, "_pid", "state"]]
 
-    level = states.groupBy(*by, F.floor(F.col("_pid") / FAN_IN).alias("_level")).applyInPandas(join, schema)
-    return level.groupBy(*by).applyInPandas(join, schema).drop("_pid")
+    for level in range(1, LEVELS):
+        states = states.groupBy(*by, F.floor(F.col("_pid") / FAN_IN**level).alias("_level")).applyInPandas(join, schema)
+    return states.groupBy(*by).applyInPandas(join, schema).drop("_pid")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import sizing
 from ..operators import bloom, cuckoo, frequency, hll, kll, lsh, minhash, minmax, relations, reservoir, space_saving, tdigest, ull
+from ..sources.staged import stage
 from ..sources.tables import table, table_stream, word_shingles
 from ..streaming import windows
 
@@ -387,9 +388,11 @@ WITH s AS ({_minhash_sql(64, _NATIONS, 'c_nationkey', 't')})
 SELECT a.c_nationkey AS a, b.c_nationkey AS b, round(sum(CASE WHEN a.u = b.u THEN 1 ELSE 0 END) / 64, 9) AS score FROM s a JOIN s b ON a.i = b.i AND a.c_nationkey < b.c_nationkey GROUP BY 1, 2""")
 def minhash_jaccard(spark, d):
     pairs = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", (F.col("o_orderkey") % 100).alias("t"))
-    s = minhash.compact(minhash.signature(pairs, "t", 64, ["c_nationkey"]), ["c_nationkey"])
-    a, b = s.select(F.col("c_nationkey").alias("a"), F.col("signature").alias("x")), s.select(F.col("c_nationkey").alias("b"), F.col("signature").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(minhash.jaccard(F.col("x"), F.col("y")), 9).alias("score"))  # one row a nation
+    s = minhash.signature(pairs, "t", 64, ["c_nationkey"])
+    # a report of all pairs of the 25 nations: they meet by component, and equal components are counted
+    a, b = s.select(F.col("c_nationkey").alias("a"), "i", F.col("h").alias("x")), s.select(F.col("c_nationkey").alias("b"), "i", F.col("h").alias("y"))
+    alike = F.count(F.when(F.col("x") == F.col("y"), 1)) / F.count(F.lit(1))
+    return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.round(alike, 9).alias("score"))
 
 
 @query("SELECT h, b, CAST(h / b AS INTEGER) AS r FROM (VALUES (128, 32), (32, 8), (64, 64)) t(h, b)")
@@ -410,8 +413,9 @@ _POSTINGS = f"{_DOC_SIGNATURES}, p AS MATERIALIZED (SELECT id, i // {HASHES // B
 
 
 def _documents(spark, d) -> DataFrame:
+    """Compact signatures."""
     shingles = word_shingles(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
-    return minhash.signature(shingles, "shingle", HASHES, ["id"])
+    return minhash.signatures(shingles, "shingle", HASHES, ["id"])
 
 
 def _postings(spark, d) -> DataFrame:
@@ -426,7 +430,7 @@ def lsh_postings(spark, d):
 @query(f"WITH {_POSTINGS} SELECT DISTINCT a.id AS q, b.id AS id FROM p a JOIN p b USING (band, band_key) WHERE a.id % 50 = 0")
 def lsh_candidates(spark, d):
     """Queries are the documents whose id is divisible by 50."""
-    p = _postings(spark, d)
+    p = stage(_postings(spark, d), "postings")
     return lsh.candidates(p.where("id % 50 = 0").withColumnRenamed("id", "q"), p)
 
 
@@ -435,9 +439,7 @@ WITH {_POSTINGS}, c AS (SELECT DISTINCT a.id AS q, b.id AS id FROM p a JOIN p b
 j AS (SELECT c.q, c.id, sum(CASE WHEN a.h = b.h THEN 1 ELSE 0 END) / {HASHES} AS score FROM c JOIN s a ON a.id = c.q JOIN s b ON b.id = c.id AND a.i = b.i GROUP BY 1, 2)
 SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM j QUALIFY rank <= 3""")
 def lsh_top_k(spark, d):
-    signatures = minhash.compact(_documents(spark, d), ["id"])
-    queries = signatures.where("id % 50 = 0").withColumnRenamed("id", "q")
-    return lsh.top_k(lsh_candidates(spark, d), queries, signatures, 3)
+    return lsh.search(_documents(spark, d), "id % 50 = 0", HASHES, BANDS, 3)
 
 
 @query(f"WITH {_POSTINGS} SELECT id, CAST(band AS INTEGER) AS band, band_key FROM p WHERE id NOT IN (SELECT item_id FROM benchmark)")
@@ -451,12 +453,12 @@ r AS (SELECT p.* FROM p JOIN m USING (id) WHERE m.id = m.rep), c AS (SELECT DIST
 SELECT a, b, sum(CASE WHEN x.h = y.h THEN 1 ELSE 0 END) / {HASHES} AS score FROM c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b AND x.i = y.i GROUP BY a, b""")
 def lsh_self_join(spark, d):
     """Pairs of class representatives; :func:`lsh_classes` says who belongs to which."""
-    return lsh.self_join(minhash.compact(_documents(spark, d), ["id"]), HASHES, BANDS)[0]
+    return lsh.self_join(_documents(spark, d), HASHES, BANDS)[0]
 
 
 @query(f"WITH {_DOC_SIGNATURES}, g AS (SELECT id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY i) AS x FROM s GROUP BY id) SELECT id, min(id) OVER (PARTITION BY x) AS rep FROM g")
 def lsh_classes(spark, d):
-    return lsh.classes(minhash.compact(_documents(spark, d), ["id"]))
+    return lsh.classes(stage(_documents(spark, d), "signatures"))
 
 
 # frequencies
