@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import sizing
+from ..functions.register import register
 from ..operators import bloom, cuckoo, frequency, hll, kll, lsh, minhash, minmax, relations, reservoir, space_saving, tdigest, ull
-from ..sources.staged import stage
+from ..sources import states
+from ..sources.staged import new_path, stage
 from ..sources.tables import table, table_stream, word_shingles
-from ..streaming import windows
+from ..streaming import stateful, windows
+from ..streaming.run import run_to_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,6 +152,17 @@ def cuckoo_probe(spark, d):
     return CUCKOO.probe(table(spark, d, "customer").select("c_custkey"), "c_custkey", state)
 
 
+SMALL_CUCKOO = cuckoo.Cuckoo(64, 8)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) > 256 AS refused, true AS ok FROM orders GROUP BY 1")
+def cuckoo_refused(spark, d):
+    """Insertions into tables of 256 slots, one for each status: refused only when a table is nearly full."""
+    got = SMALL_CUCKOO.insert(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderkey", ["o_orderkey"], ["o_orderstatus"])
+    counted = got.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("accepted").cast("long")).alias("held"))
+    return counted.select("o_orderstatus", "n", (F.col("held") < F.col("n")).alias("refused"), ((F.col("held") <= 256) & ((F.col("held") == F.col("n")) | (F.col("held") > 200))).alias("ok"))
+
+
 @query(f"SELECT fp, pair, count(*) AS n FROM ({_cuckoo_sql('o_custkey', chr(40) + 'SELECT * FROM orders WHERE o_orderstatus <> ' + chr(39) + 'F' + chr(39) + chr(41))}) GROUP BY fp, pair")
 def cuckoo_delete(spark, d):
     orders = table(spark, d, "orders")
@@ -196,6 +210,12 @@ def hll_rollup(spark, d):
 SQL["hll_rollup"] = f"SELECT l_returnflag, l_linestatus, idx, rank FROM ({SQL['hll_rollup']}) t(l_returnflag, l_linestatus, idx, rank)"
 
 
+@query(" UNION ALL ".join(f"SELECT {f} AS l_returnflag, {s} AS l_linestatus, idx, rank FROM ({_hll_sql('l_partkey', 'lineitem', 10, by)})" for f, s, by in (("l_returnflag", "l_linestatus", "l_returnflag, l_linestatus, "), ("l_returnflag", "NULL", "l_returnflag, "), ("NULL", "l_linestatus", "l_linestatus, "), ("NULL", "NULL", ""))))
+def hll_cube(spark, d):
+    by = ["l_returnflag", "l_linestatus"]
+    return hll.cube(hll.registers(table(spark, d, "lineitem"), "l_partkey", 10, by), by)
+
+
 def _flagged(got: DataFrame, exact: DataFrame, by: list[str], bound: float) -> DataFrame:
     """by..., exact, ok: whether an estimate is within ``bound`` of the truth."""
     return got.join(exact, by).select(*by, "exact", (F.abs(F.col("estimate") - F.col("exact")) <= bound * F.col("exact")).alias("ok"))
@@ -275,12 +295,12 @@ def ull_sizing(spark, d):
     return rows(spark, [(e, t, sizing.ull_for_error(t, e)) for e in ("fgra", "mle") for t in ERRORS], "estimator string, target double, p int")
 
 
-def _ull_sql(key: str, source: str, p: int, by: str = "") -> str:
+def _ull_sql(key: str, source: str, p: int, by: str = "", seed: int = H.ULL_SEED) -> str:
     n = 64 - p
     return f"""SELECT {by}idx, CAST(4 * t + (prefix >> CAST(t - 2 AS UHUGEINT)) % 4 AS INTEGER) AS register FROM (
       SELECT {by}idx, prefix, length(bin(prefix)) - 1 AS t FROM (
         SELECT {by}idx, bit_or(CAST(1 AS UHUGEINT) << CAST(63 - ({_bit_length('s')}) AS UHUGEINT)) AS prefix FROM (
-          SELECT {by}CAST(h // {1 << n} AS INTEGER) AS idx, h % {1 << n} AS s FROM (SELECT DISTINCT {by}{H.sql_hash(key, H.ULL_SEED)} AS h FROM {source})) GROUP BY {by}idx))"""
+          SELECT {by}CAST(h // {1 << n} AS INTEGER) AS idx, h % {1 << n} AS s FROM (SELECT DISTINCT {by}{H.sql_hash(key, seed)} AS h FROM {source})) GROUP BY {by}idx))"""
 
 
 _ULL = _ull_sql("l_partkey", "lineitem", 8, "l_returnflag, ")
@@ -291,6 +311,12 @@ def ull_registers(spark, d):
     return ull.registers(table(spark, d, "lineitem"), "l_partkey", 8, ["l_returnflag"])
 
 
+@query(_ull_sql("o_custkey", "orders", 6, seed=7))
+def ull_add_hash(spark, d):
+    """Registers of hashes that the caller has made."""
+    return ull.raw_registers(H.with_hash(table(spark, d, "orders").select("o_custkey"), "h", "o_custkey", 7), "h", 6)
+
+
 @query(_ULL)
 def ull_merge(spark, d):
     lines, by = table(spark, d, "lineitem"), ["l_returnflag"]
@@ -635,10 +661,11 @@ def tdigest_sizing(spark, d):
     return rows(spark, [(e, sizing.tdigest_for_error(e)) for e in (0.5, 0.05, 0.03)], "e double, compression double")
 
 
-@query(_rank_sql("s_acctbal", "(SELECT * FROM supplier ORDER BY s_suppkey LIMIT 200)"))
+@query(_FLAGS)
 def kll_quantiles(spark, d):
-    """Over the whole table: exact up to k suppliers, within the sketch's rank error above."""
-    return kll.quantiles(kll.build(table(spark, d, "supplier"), "s_acctbal", 200), QS)
+    """Over the whole table: exact up to k suppliers, within the rank error above."""
+    suppliers = table(spark, d, "supplier")
+    return _rank_flags(kll.quantiles(kll.build(suppliers, "s_acctbal", 200), QS), suppliers, "s_acctbal", sizing.kll_rank_error(200))
 
 
 @query(_rank_sql("s_acctbal", "supplier", "s_nationkey"))
@@ -706,7 +733,56 @@ def reservoir_merge(spark, d):
 def stream_hll_windows(spark, d):
     """Registers of daily windows over the event stream, run to the end of the input; zone UTC."""
     stream = windows.windowed_registers(table_stream(spark, d, "events"), "ts", "user_id", 8, "1 day", "365 days")
-    name = "stream_hll_windows"
-    running = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return run_to_end(stream, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(_hll_sql("user_id", "(SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(i AS INTEGER)) AS start, user_id FROM events CROSS JOIN range(7) r(i))", 8, "start, "))
+def stream_hll_sliding(spark, d):
+    """Registers of windows of a week that begin each day."""
+    stream = windows.windowed_registers(table_stream(spark, d, "events"), "ts", "user_id", 8, "7 days", "365 days", "1 day")
+    return run_to_end(stream, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_SESSIONS = """(
+  SELECT event_type, user_id, CAST(min(ts) OVER s AS TIMESTAMP) AS start, CAST(max(ts) OVER s + INTERVAL 1 HOUR AS TIMESTAMP) AS "end" FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL))
+  WINDOW s AS (PARTITION BY event_type, n))"""
+
+
+@query(_hll_sql("user_id", _SESSIONS, 6, 'start, "end", event_type, '))
+def session_hll(spark, d):
+    """Registers of each event type's sessions, which an hour without events ends; over the table, as a stream can't close its last sessions."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = windows.session_registers(events, "ts", "user_id", 6, "1 hour", "1 day", ["event_type"])
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high FROM events WHERE isfinite(value) GROUP BY 1")
+def stream_fold(spark, d):
+    """A t-digest for each event type as custom state of a stream: its count and extremes, which are exact."""
+    folded = stateful.fold_stream(table_stream(spark, d, "events"), "event_type", "value", lambda: tdigest.TDigest(100), tdigest.TDigest.load)
+    states = run_to_end(folded, "update", ["event_type"])
+    ends = tdigest.quantiles(states, [0.0, 1.0], ["event_type"]).groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return tdigest.describe(states, ["event_type"]).select("event_type", F.col("count").cast("long").alias("n")).join(ends, "event_type")
+
+
+# what surrounds the operators
+
+
+@query(_hll_sql("l_partkey", "lineitem", 10, "l_returnflag, "))
+def stored_states(spark, d):
+    """Registers that were stored and loaded again."""
+    path = new_path(spark, "registers")
+    states.save(hll.registers(table(spark, d, "lineitem"), "l_partkey", 10, ["l_returnflag"]), path, "hll", p=10)
+    return states.load(spark, path, "hll", p=10)
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS hll_ok, true AS fgra_ok, true AS mle_ok, true AS similar FROM lineitem GROUP BY 1")
+def sql_functions(spark, d):
+    """The registered SQL functions on dense states and signatures."""
+    register(spark)
+    lines, by = table(spark, d, "lineitem"), ["l_returnflag"]
+    dense = hll.compact(hll.registers(lines, "l_partkey", 12, by), 12, by).join(ull.to_state(ull.registers(lines, "l_partkey", 12, by), 12, by), by).join(minhash.signatures(lines, "l_partkey", 16, by), by).join(_exact(lines, "l_partkey", by), by)
+    near = lambda x, error: F.expr(f"abs({x} - exact) <= {3 * error} * exact")
+    return dense.select(*by, "exact", near("hll_estimate(registers)", sizing.hll_error(12)).alias("hll_ok"), near("ull_estimate_fgra(state)", sizing.ull_error(12)).alias("fgra_ok"), near("ull_estimate_mle(state)", sizing.ull_error(12, "mle")).alias("mle_ok"), F.expr("minhash_similarity(signature, signature) = 1").alias("similar"))

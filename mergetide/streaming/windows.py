@@ -26,6 +26,7 @@ def session_registers(stream: DataFrame, ts: str, key: str, p: int, gap: str, la
     """start, end, by..., idx, rank: registers of sessions of each ``by``."""
     rows = H.with_hash(stream.where(F.col(key).isNotNull()).withWatermark(ts, late).select(ts, *by, key), "_h", key, H.HLL_SEED)
     rank = F.least(H.leading_zeros(F.shiftleft("_h", p)) + 1, F.lit(64 - p + 1))
-    pairs = rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.collect_set(F.struct(F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx"), rank.alias("rank"))).alias("cells"))
-    cells = pairs.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, F.explode("cells").alias("c"))
+    pairs = rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.sort_array(F.collect_set(F.struct(F.shiftrightunsigned("_h", 64 - p).cast("int").alias("idx"), rank.alias("rank")))).alias("cells"))
+    largest = F.filter("cells", lambda c, i: F.coalesce(F.get(F.col("cells"), i + 1)["idx"] != c["idx"], F.lit(True)))  # the last of each register
+    cells = pairs.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, F.explode(largest).alias("c"))
     return cells.select("start", "end", *by, "c.idx", "c.rank")
