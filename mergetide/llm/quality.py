@@ -1,32 +1,42 @@
 """Quality rules: base counts of each text, and robust multivariate outliers among them.
 
 For each language and source a minimum-covariance-determinant (MCD) estimate of centre and scatter is made of
-transformed counts, and documents beyond a Mahalanobis distance go.  A concentration step needs, of
-every group, the sums and products of its closest share of rows.  Rows are therefore binned by distance
-and summed by group and bin, which combines before the shuffle and gives at most ``BINS`` rows for a group
-however large it is; no group is ever gathered.
+transformed counts, and documents beyond a Mahalanobis distance go.  From each of ``STARTS`` deterministic starts
+concentration steps are taken: the closest share of a group's rows gives the next centre and scatter.  After ``FIRST``
+steps a group goes on from the start with the smallest determinant until that determinant no longer falls.
+
+A step needs the sums and products of exactly the closest ``CORE`` of a group's rows.  Rows are summed by group and
+distance bin, which combines before the shuffle; the bin in which the share is reached is then summed again by 65,536 finer
+bins, and of the last of these each row counts in part.  So a group of any size is a few hundred rows, then at most 65,536; no group is
+ever gathered or sorted, and groups of all sizes are treated alike.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_of, slices, small, stage
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 0.3
-#: Share of a group that an estimate rests on; steps; rows that a group of its own needs; odds of a clean row to go.
-CORE, STEPS, MIN_GROUP, TAIL, BINS = 0.75, 4, 100, 1e-6, 96
-#: Least standard deviation of each transformed count: below it a difference means nothing.
+#: Share of a group that an estimate rests on; odds of a clean row to go; rows that the estimate of the language weighs in that of a source, and that of all in a language's.
+CORE, TAIL, PRIOR = 0.75, 1e-6, 50
+#: Starts, steps from each of them, most steps in all, and the fall of the logarithm of the determinant that ends them.
+STARTS, FIRST, MOST, SETTLED = 4, 2, 30, 1e-6
+#: Standard deviation of each transformed count that is noise: its square is added to the scatter, as a regularised determinant needs where a count hardly varies.
 FLOORS = {"length": 0.5, "word": 0.1, "symbols": 0.5, "lines": 0.5, "repeats": 0.15}
 DIMS = list(FLOORS)
+D, PAIRS = len(DIMS), list(combinations_with_replacement(range(len(DIMS)), 2))
+RIDGE = np.diag(np.square(list(FLOORS.values())))
+ALL = "*"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FD935E7A4A6D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _START = (np.arange(256) & 0xC0 != 0x80) & ~_SPACE
@@ -103,81 +113,171 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _invert(cov: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(cov + np.diag(np.square(list(FLOORS.values()))))
+def consistency(share: float) -> float:
+    """What the scatter of the closest ``share`` of normal rows is multiplied by."""
+    return share / chi2_below(chi2_quantile(share, D), D + 2) if share < 1 else 1.0
 
 
-def _estimate(share: float):
-    """Centre and inverse scatter of the rows in the lowest bins, up to ``share`` of a group (1: all that are there)."""
-    d = len(DIMS)
-    quantile = chi2_quantile(share, d) if share < 1 else chi2_quantile(0.975, d)
-    inflate = (share if share < 1 else 0.975) / chi2_below(quantile, d + 2)
+def _sums(columns: list[str] = DIMS) -> list[Column]:
+    """Count, sums and products."""
+    return [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(columns)), *(F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}{j}") for i, j in PAIRS)]
 
-    def solve(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin")
-        n = bins["n"].to_numpy()
-        last = int(np.searchsorted(np.cumsum(n), math.ceil(share * n.sum())))
-        part = bins.iloc[: last + 1]
-        m = part["n"].sum()
-        mean = part[[f"s{i}" for i in range(d)]].sum().to_numpy() / m
-        second = np.zeros((d, d))
-        for i, j in combinations_with_replacement(range(d), 2):
-            second[i, j] = second[j, i] = part[f"p{i}{j}"].sum() / m
-        inverse = _invert(inflate * (second - np.outer(mean, mean)))
-        return pd.DataFrame({"g": [key[0]], "centre": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
-
-    return solve
-
-
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance; null where the group has no estimate."""
-    d = len(DIMS)
-    rows = rows.join(small(fit), "g", "left")
+
+MOMENTS = ["n", *(f"s{i}" for i in range(D)), *(f"p{i}{j}" for i, j in PAIRS)]
+
+
+def centre_and_scatter(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From MOMENTS."""
+    mean, second = m[1 : D + 1] / m[0], np.zeros((D, D))
+    for (i, j), x in zip(PAIRS, m[D + 1 :], strict=True):
+        second[i, j] = second[j, i] = x / m[0]
+    return mean, second - np.outer(mean, mean)
+
+
+def _fit(key: tuple, centre: np.ndarray, scatter: np.ndarray) -> dict:
+    scatter = scatter + RIDGE
+    return {"g": key[0], "s": int(key[1]), "centre": centre.tolist(), "inverse": np.linalg.inv(scatter).ravel().tolist(), "logdet": float(np.linalg.slogdet(scatter)[1])}
+
+
+FIT = "g string, s int, centre array<double>, inverse array<double>, logdet double"
+
+
+def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance, for each estimate of a row's group."""
+    rows = rows.join(small(fit), "g")
     rows = rows.withColumns({f"_c{i}": F.col(x) - F.col("centre")[i] for i, x in enumerate(DIMS)})
-    d2 = sum((F.col(f"_c{i}") * F.col(f"_c{j}") * F.col("inverse")[i * d + j] * (1 if i == j else 2) for i, j in combinations_with_replacement(range(d), 2)), F.lit(0.0))
-    return rows.withColumn("d2", d2).drop("centre", "inverse", *(f"_c{i}" for i in range(d)))
+    d2 = sum((F.col(f"_c{i}") * F.col(f"_c{j}") * F.col("inverse")[i * D + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
+    return rows.withColumn("d2", F.greatest(d2, F.lit(0.0))).drop("centre", "inverse", *(f"_c{i}" for i in range(D)))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Four estimates for each group: medians and quartiles, mean and covariance, spatial signs, and hyperbolic tangents."""
+    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(DIMS)]
+    scale = [F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[x] ** 2) for i, x in enumerate(DIMS)]
+    mid = rows.groupBy("g").agg(*quartiles, *_sums()).select("g", F.array(*(F.col(f"q{i}")[1] for i in range(D))).alias("mid"), F.array(*scale).alias("scale"), F.array(*MOMENTS).alias("plain"))
+    mid = stage(mid, "middles")
+    z = rows.join(small(mid), "g").withColumns({f"z{i}": (F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(DIMS)})
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)))
+    z = z.withColumn("_l", F.when(length > 0, length).otherwise(1.0)).withColumns({f"u{i}": F.col(f"z{i}") / F.col("_l") for i in range(D)}).withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(D)})
+    packed = lambda c: F.struct(*_sums([f"{c}{i}" for i in range(D)]))
+    turned = stage(z.groupBy("g").agg(packed("u").alias("u"), packed("t").alias("t")).select("g", *(F.array(*(F.col(f"{c}.{m}") for m in MOMENTS)).alias(c) for c in "ut")), "turned")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                mid, scale = np.array(r.mid), np.array(r.scale)
+                tanh = centre_and_scatter(np.array(r.t))[1]
+                spread = np.sqrt(np.maximum(np.diag(tanh), 1e-12))
+                out += [
+                    _fit((r.g, 0), mid, np.diag(scale**2)),
+                    _fit((r.g, 1), *centre_and_scatter(np.array(r.plain))),
+                    _fit((r.g, 2), mid, D * centre_and_scatter(np.array(r.u))[1] * np.outer(scale, scale)),
+                    _fit((r.g, 3), mid, tanh / np.outer(spread, spread) * np.outer(scale, scale)),
+                ]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FIT.split(", ")])
+
+    return stage(mid.join(turned, "g").mapInPandas(solve, FIT), "starts")
+
+
+def concentrate(rows: DataFrame, fits: DataFrame, core: float) -> DataFrame:
+    """The estimates from the closest ``core`` of the rows of each group, by each of its estimates in ``fits``."""
+    near = with_distance(rows, fits.select("g", "s", "centre", "inverse"))
+    t = 16 * F.log2(F.col("d2") + 1e-9)
+    near = near.withColumn("bin", F.floor(t)).withColumn("fine", F.floor((t - F.floor(t)) * 65536))
+
+    def edge(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values("bin")
+        upto = bins["n"].cumsum().to_numpy()
+        need = math.ceil(core * upto[-1])
+        at = int(np.searchsorted(upto, need))
+        below = bins[MOMENTS].iloc[:at].sum().to_numpy(float)
+        return pd.DataFrame({"g": [key[0]], "s": [key[1]], "edge": [bins["bin"].iloc[at]], "need": [float(need - below[0])], "below": [below.tolist()], "share": [need / upto[-1]]})
 
+    edges = near.groupBy("g", "s", "bin").agg(*_sums()).groupBy("g", "s").applyInPandas(edge, "g string, s int, edge long, need double, below array<double>, share double")
+    edges = stage(edges, "edges")
+    last = near.join(small(edges.select("g", "s", "edge")), ["g", "s"]).where(F.col("bin") == F.col("edge"))
 
-def mcd(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """``rows`` (staged): g and the columns DIMS -> g, centre, inverse, one row for each group.
+    def solve(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values("fine")
+        first = bins.iloc[0]
+        before = bins["n"].cumsum().to_numpy() - bins["n"].to_numpy()
+        weight = np.clip((first["need"] - before) / bins["n"].to_numpy(), 0, 1)
+        mean, scatter = centre_and_scatter(np.array(first["below"]) + weight @ bins[MOMENTS].to_numpy(float))
+        return pd.DataFrame([_fit(key, mean, consistency(first["share"]) * scatter)])
+
+    fine = last.groupBy("g", "s", "fine").agg(*_sums()).join(small(edges.select("g", "s", "need", "below", "share")), ["g", "s"])
+    return stage(fine.groupBy("g", "s").applyInPandas(solve, FIT), "fit")
+
+
+def mcd(rows: DataFrame, core: float = CORE) -> DataFrame:
+    """``rows``: g and the columns DIMS -> g, s, centre, inverse, logdet: of each group the estimate with the smallest determinant that the starts lead to."""
+    fits = starts(rows)
+    for _ in range(FIRST):
+        fits = concentrate(rows, fits, core)
+    best = fits.groupBy("g").agg(F.min_by(F.struct("s", "centre", "inverse", "logdet"), F.struct("logdet", "s")).alias("x")).select("g", "x.*")
+    now, done = stage(best, "best"), []
+    for _ in range(FIRST, MOST):
+        new = concentrate(rows, now, core)
+        both = new.join(small(now.select("g", F.col("logdet").alias("_before"))), "g")
+        falls = F.col("_before") - F.col("logdet") > SETTLED
+        done.append(stage(both.where(~falls).select(*new.columns), "settled"))
+        now = stage(both.where(falls).select(*new.columns), "open")
+        if not now.limit(1).count():
+            break
+    return reduce(DataFrame.union, [*done, now])
 
-    Starts from medians and median deviations, concentrates ``steps`` times on the closest ``core`` of the
-    rows, then once more on all within the 97.5 % quantile.
-    """
-    d = len(DIMS)
-    mid = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(DIMS)), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(DIMS)))
-    scatter = [F.pow((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[x] ** 2 for i, x in enumerate(DIMS)]
-    fit = stage(mid.select("g", F.array(*(F.col(f"m{i}") for i in range(d))).alias("centre"), F.array(*(1 / scatter[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d))).alias("inverse")), "centres")
-    for step in range(steps + 1):
-        near = _distance(rows, fit)
-        if step == steps:
-            near = near.where(F.col("d2") <= chi2_quantile(0.975, d))
-        binned = near.withColumn("bin", F.least(F.greatest(F.floor(8 * F.log2(F.col("d2") + 1e-3)) + 48, F.lit(0)), F.lit(BINS - 1)).cast("int"))
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(DIMS)]
-        products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in combinations_with_replacement(range(d), 2)]
-        moments = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-        fit = stage(moments.groupBy("g").applyInPandas(_estimate(core if step < steps else 1), "g string, centre array<double>, inverse array<double>"), "fit")
-    return fit
-
-
-def assess(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+
+def reweighted(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """g, up, n, centre, scatter: moments of the rows within the 97.5 % quantile of the estimate of their group."""
+    near = with_distance(rows, fit.select("g", "centre", "inverse")).where(F.col("d2") <= chi2_quantile(0.975, D))
+    factor = consistency(0.975)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [centre_and_scatter(m) for m in batch[MOMENTS].to_numpy(float)]
+            yield batch[["g", "up", "n"]].assign(centre=[c.tolist() for c, _ in found], scatter=[(factor * x).ravel().tolist() for _, x in found])
+
+    return stage(near.groupBy("g", "up").agg(*_sums()).mapInPandas(solve, "g string, up string, n double, centre array<double>, scatter array<double>"), "reweighted")
+
+
+def shrunk(found: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """g, centre, inverse for each source: its moments mixed with ``prior`` rows of its language's, which are mixed with as many of all rows'."""
+    named = lambda c: found.select(*(F.col(x).alias(f"{c}_{x}") for x in found.columns))
+    top = named("a").where(F.col("a_g") == ALL)
+    rows = named("s").join(small(stage(named("l").where(F.col("l_up") == ALL), "languages")), F.col("s_up") == F.col("l_g")).join(F.broadcast(top), F.col("l_up") == F.col("a_g"))  # top: one row
+
+    def mix(n: float, c: list, s: list, up: tuple) -> tuple:
+        c, s, w = np.array(c), np.array(s).reshape(D, D), n / (n + prior)
+        apart = c - up[0]
+        return w * c + (1 - w) * up[0], w * s + (1 - w) * up[1] + w * (1 - w) * np.outer(apart, apart)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                language = mix(r.l_n, r.l_centre, r.l_scatter, (np.array(r.a_centre), np.array(r.a_scatter).reshape(D, D)))
+                fit = _fit((r.s_g, 0), *mix(r.s_n, r.s_centre, r.s_scatter, language))
+                out.append((fit["g"], fit["centre"], fit["inverse"]))
+            yield pd.DataFrame(out, columns=["g", "centre", "inverse"])
+
+    return stage(rows.mapInPandas(solve, "g string, centre array<double>, inverse array<double>"), "shrunk")
+
+
+def assess(docs: DataFrame, tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept: a row for each row.
 
-    Documents that fail a base rule go and take no part in the estimates.  The others go if their squared
-    distance exceeds the quantile that a clean document passes with odds of ``1 - tail``.  A null language
-    or source is a value like others.  Groups of fewer than ``min_group`` documents are judged together by
-    language, what is then still too small all together, and if that is too small too, all stay.  A
+    Documents that fail a base rule go and take no part in the estimates; their d2 is null.  Every other one is judged: it goes if its squared
+    distance exceeds the quantile that a clean document passes with odds of ``1 - tail``.  Estimates are made by
+    language and source, by language, and of all; that of a source is mixed with ``prior`` rows of its
+    language's, so a source of a single document is judged by its language.  A null language or source is a value like others.  A
     null text counts as zero words and fails.  An empty table gives an empty table.
     """
-    stats = stage(vectors(base_counts(docs)), "counts")
-    sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").count()
-    alone = F.col("count") >= min_group
-    rest = F.sum(F.when(~alone, F.col("count")).otherwise(0)).over(Window.partitionBy("lang"))
-    sizes = sizes.withColumn("g", F.when(alone, F.concat_ws("\x1f", "lang", "source")).when(rest >= min_group, F.col("lang")).otherwise(F.lit("*")))
-    groups = sizes.groupBy("g").agg(F.sum("count").alias("n"), F.collect_list(F.struct("lang", "source")).alias("of")).where(F.col("n") >= min_group)
-    groups = stage(groups.select("g", F.explode("of").alias("x")).select("g", "x.lang", "x.source"), "groups")
-    rows = stats.join(small(groups), ["lang", "source"], "left")
-    fit = mcd(rows.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *DIMS))
-    judged = _distance(rows, fit)
-    kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(1 - tail, len(DIMS))))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
+    stats = vectors(base_counts(docs))
+    stats = stage(stats.withColumn("g", F.concat_ws("\x1f", F.lit("source"), "lang", "source")).withColumn("lang", F.concat_ws("\x1f", F.lit("lang"), "lang")), "counts")
+    levels = F.array(F.struct(F.col("g"), F.col("lang").alias("up")), F.struct(F.col("lang").alias("g"), F.lit(ALL).alias("up")), F.struct(F.lit(ALL).alias("g"), F.lit("").alias("up")))
+    rows = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("_g"), *DIMS).select("_g.g", "_g.up", *DIMS)
+    fit = shrunk(reweighted(rows, mcd(rows.drop("up"))), prior)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = with_distance(stats.where(~F.col("base_failed")), fit).select(*names, "d2", (F.col("d2") <= chi2_quantile(1 - tail, D)).alias("kept"))
+    return judged.unionByName(stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept")))
