@@ -14,8 +14,8 @@ ever gathered or sorted, and groups of all sizes are treated alike.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_of, slices, small, stage
+from .common import BROADCAST_ROWS, key_of, slices, stage
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 0.3
 #: Share of a group that an estimate rests on; odds of a clean row to go; rows that the estimate of the language weighs in that of a source, and that of all in a language's.
 CORE, TAIL, PRIOR = 0.75, 1e-6, 50
 #: Starts, steps from each of them, most steps in all, and the fall of the logarithm of the determinant that ends them.
-STARTS, FIRST, MOST, SETTLED = 4, 2, 30, 1e-6
+STARTS, FIRST, MOST, SETTLED = 4, 2, 30, 1e-4
 #: Standard deviation of each transformed count that is noise: its square is added to the scatter, as a regularised determinant needs where a count hardly varies.
 FLOORS = {"length": 0.5, "word": 0.1, "symbols": 0.5, "lines": 0.5, "repeats": 0.15}
 DIMS = list(FLOORS)
@@ -113,21 +113,20 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
+@lru_cache(4096)
 def consistency(share: float) -> float:
     """What the scatter of the closest ``share`` of normal rows is multiplied by."""
     return share / chi2_below(chi2_quantile(share, D), D + 2) if share < 1 else 1.0
 
 
-def _sums(columns: list[str] = DIMS) -> list[Column]:
-    """Count, sums and products."""
-    return [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(columns)), *(F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}{j}") for i, j in PAIRS)]
-
-
-MOMENTS = ["n", *(f"s{i}" for i in range(D)), *(f"p{i}{j}" for i, j in PAIRS)]
+def _moments(columns: list[str] = DIMS) -> Column:
+    """Count, sums, and products of PAIRS, as one array.  One text of SQL, as a call for each term would cost the driver more than a step does."""
+    terms = ["CAST(count(1) AS DOUBLE)", *(f"sum({x})" for x in columns), *(f"sum({columns[i]} * {columns[j]})" for i, j in PAIRS)]
+    return F.expr(f"array({', '.join(terms)})")
 
 
 def centre_and_scatter(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From MOMENTS."""
+    """From :func:`_moments`."""
     mean, second = m[1 : D + 1] / m[0], np.zeros((D, D))
     for (i, j), x in zip(PAIRS, m[D + 1 :], strict=True):
         second[i, j] = second[j, i] = x / m[0]
@@ -142,25 +141,25 @@ def _fit(key: tuple, centre: np.ndarray, scatter: np.ndarray) -> dict:
 FIT = "g string, s int, centre array<double>, inverse array<double>, logdet double"
 
 
-def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance, for each estimate of a row's group."""
-    rows = rows.join(small(fit), "g")
-    rows = rows.withColumns({f"_c{i}": F.col(x) - F.col("centre")[i] for i, x in enumerate(DIMS)})
-    d2 = sum((F.col(f"_c{i}") * F.col(f"_c{j}") * F.col("inverse")[i * D + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
-    return rows.withColumn("d2", F.greatest(d2, F.lit(0.0))).drop("centre", "inverse", *(f"_c{i}" for i in range(D)))
+def with_distance(rows: DataFrame, fit: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance, for each estimate of a row's group; ``hint``: of :func:`starts`."""
+    centred = rows.join(hint(fit), "g").selectExpr("*", *(f"{x} - centre[{i}] AS _c{i}" for i, x in enumerate(DIMS)))
+    d2 = " + ".join(f"{1 if i == j else 2} * _c{i} * _c{j} * inverse[{i * D + j}]" for i, j in PAIRS)
+    return centred.selectExpr("*", f"greatest({d2}, 0D) AS d2").drop("centre", "inverse", *(f"_c{i}" for i in range(D)))
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Four estimates for each group: medians and quartiles, mean and covariance, spatial signs, and hyperbolic tangents."""
-    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(DIMS)]
-    scale = [F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[x] ** 2) for i, x in enumerate(DIMS)]
-    mid = rows.groupBy("g").agg(*quartiles, *_sums()).select("g", F.array(*(F.col(f"q{i}")[1] for i in range(D))).alias("mid"), F.array(*scale).alias("scale"), F.array(*MOMENTS).alias("plain"))
-    mid = stage(mid, "middles")
-    z = rows.join(small(mid), "g").withColumns({f"z{i}": (F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(DIMS)})
-    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)))
-    z = z.withColumn("_l", F.when(length > 0, length).otherwise(1.0)).withColumns({f"u{i}": F.col(f"z{i}") / F.col("_l") for i in range(D)}).withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(D)})
-    packed = lambda c: F.struct(*_sums([f"{c}{i}" for i in range(D)]))
-    turned = stage(z.groupBy("g").agg(packed("u").alias("u"), packed("t").alias("t")).select("g", *(F.array(*(F.col(f"{c}.{m}") for m in MOMENTS)).alias(c) for c in "ut")), "turned")
+def starts(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Four estimates for each group: medians and quartiles, mean and covariance, spatial signs, and hyperbolic tangents; and how a
+    table of estimates is joined: by broadcast if there are at most ``BROADCAST_ROWS``, which is counted once as groups only get fewer."""
+    quartiles = F.expr(f"array({', '.join(f'percentile_approx({x}, array(0.25, 0.5, 0.75), 1000)' for x in DIMS)})")
+    scale = ", ".join(f"sqrt(pow((q[{i}][2] - q[{i}][0]) / 1.349, 2) + {FLOORS[x] ** 2!r}D)" for i, x in enumerate(DIMS))
+    mid = rows.groupBy("g").agg(quartiles.alias("q"), _moments().alias("plain"))
+    mid = stage(mid.selectExpr("g", "transform(q, x -> x[1]) AS mid", f"array({scale}) AS scale", "plain"), "middles")
+    hint = F.broadcast if STARTS * mid.count() <= BROADCAST_ROWS else lambda x: x
+    z = rows.join(hint(mid.drop("plain")), "g").selectExpr("g", *(f"({x} - mid[{i}]) / scale[{i}] AS z{i}" for i, x in enumerate(DIMS)))
+    z = z.selectExpr("*", f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(D))}) AS _l")
+    z = z.selectExpr("g", *(f"CASE WHEN _l > 0 THEN z{i} / _l ELSE 0D END AS u{i}" for i in range(D)), *(f"tanh(z{i}) AS t{i}" for i in range(D)))
+    turned = stage(z.groupBy("g").agg(*(_moments([f"{c}{i}" for i in range(D)]).alias(c) for c in "ut")), "turned")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,80 +176,95 @@ def starts(rows: DataFrame) -> DataFrame:
                 ]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FIT.split(", ")])
 
-    return stage(mid.join(turned, "g").mapInPandas(solve, FIT), "starts")
+    return stage(mid.join(hint(turned), "g").mapInPandas(solve, FIT), "starts"), hint
+
 
+def _collected(near: DataFrame, bin_: str) -> DataFrame:
+    """g, s, bins, m: the bins of each estimate in order, and their moments one after the other."""
+    sums = near.groupBy("g", "s", bin_).agg(_moments().alias("m")).selectExpr("g", "s", f"struct({bin_} AS bin, m) AS x")
+    rows = sums.groupBy("g", "s").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.selectExpr("g", "s", "transform(x, x -> x.bin) AS bins", "flatten(transform(x, x -> x.m)) AS m")
 
-def concentrate(rows: DataFrame, fits: DataFrame, core: float) -> DataFrame:
-    """The estimates from the closest ``core`` of the rows of each group, by each of its estimates in ``fits``."""
-    near = with_distance(rows, fits.select("g", "s", "centre", "inverse"))
-    t = 16 * F.log2(F.col("d2") + 1e-9)
-    near = near.withColumn("bin", F.floor(t)).withColumn("fine", F.floor((t - F.floor(t)) * 65536))
 
-    def edge(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin")
-        upto = bins["n"].cumsum().to_numpy()
-        need = math.ceil(core * upto[-1])
-        at = int(np.searchsorted(upto, need))
-        below = bins[MOMENTS].iloc[:at].sum().to_numpy(float)
-        return pd.DataFrame({"g": [key[0]], "s": [key[1]], "edge": [bins["bin"].iloc[at]], "need": [float(need - below[0])], "below": [below.tolist()], "share": [need / upto[-1]]})
+def concentrate(rows: DataFrame, fits: DataFrame, core: float, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The estimates from the closest ``core`` of the rows of each group, by each of its estimates in ``fits``; ``before``: the determinant of that."""
+    near = with_distance(rows, fits.select("g", "s", "centre", "inverse"), hint)
+    near = near.selectExpr("*", "16 * log2(d2 + 1e-9D) AS _t").selectExpr("*", "floor(_t) AS bin", "floor((_t - floor(_t)) * 65536) AS fine").drop("_t")
 
-    edges = near.groupBy("g", "s", "bin").agg(*_sums()).groupBy("g", "s").applyInPandas(edge, "g string, s int, edge long, need double, below array<double>, share double")
+    def edge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                m = np.asarray(r.m).reshape(len(r.bins), -1)
+                upto = np.cumsum(m[:, 0])
+                need = math.ceil(core * upto[-1])
+                at = int(np.searchsorted(upto, need))
+                below = m[:at].sum(axis=0)
+                out.append((r.g, r.s, r.bins[at], need - below[0], below.tolist(), need / upto[-1], r.logdet))
+            yield pd.DataFrame(out, columns=["g", "s", "edge", "need", "below", "share", "before"])
+
+    edges = _collected(near, "bin").join(hint(fits.select("g", "s", "logdet")), ["g", "s"]).mapInPandas(edge, "g string, s int, edge long, need double, below array<double>, share double, before double")
     edges = stage(edges, "edges")
-    last = near.join(small(edges.select("g", "s", "edge")), ["g", "s"]).where(F.col("bin") == F.col("edge"))
+    last = near.join(hint(edges.select("g", "s", "edge")), ["g", "s"]).where(F.col("bin") == F.col("edge"))
 
-    def solve(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("fine")
-        first = bins.iloc[0]
-        before = bins["n"].cumsum().to_numpy() - bins["n"].to_numpy()
-        weight = np.clip((first["need"] - before) / bins["n"].to_numpy(), 0, 1)
-        mean, scatter = centre_and_scatter(np.array(first["below"]) + weight @ bins[MOMENTS].to_numpy(float))
-        return pd.DataFrame([_fit(key, mean, consistency(first["share"]) * scatter)])
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                m = np.asarray(r.m).reshape(len(r.bins), -1)
+                weight = np.clip((r.need - (np.cumsum(m[:, 0]) - m[:, 0])) / m[:, 0], 0, 1)
+                mean, scatter = centre_and_scatter(np.asarray(r.below) + weight @ m)
+                out.append(_fit((r.g, r.s), mean, consistency(r.share) * scatter) | {"before": r.before})
+            yield pd.DataFrame(out)
 
-    fine = last.groupBy("g", "s", "fine").agg(*_sums()).join(small(edges.select("g", "s", "need", "below", "share")), ["g", "s"])
-    return stage(fine.groupBy("g", "s").applyInPandas(solve, FIT), "fit")
+    fine = _collected(last, "fine").join(hint(edges.select("g", "s", "need", "below", "share", "before")), ["g", "s"])
+    return stage(fine.mapInPandas(solve, f"{FIT}, before double"), "fit")
 
 
-def mcd(rows: DataFrame, core: float = CORE) -> DataFrame:
-    """``rows``: g and the columns DIMS -> g, s, centre, inverse, logdet: of each group the estimate with the smallest determinant that the starts lead to."""
-    fits = starts(rows)
+def mcd(rows: DataFrame, core: float = CORE) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``rows``: g and the columns DIMS -> g, s, centre, inverse, logdet: of each group the estimate with the smallest determinant that the starts lead to; and the hint of :func:`starts`."""
+    fits, hint = starts(rows)
     for _ in range(FIRST):
-        fits = concentrate(rows, fits, core)
+        fits = concentrate(rows, fits, core, hint)
     best = fits.groupBy("g").agg(F.min_by(F.struct("s", "centre", "inverse", "logdet"), F.struct("logdet", "s")).alias("x")).select("g", "x.*")
     now, done = stage(best, "best"), []
     for _ in range(FIRST, MOST):
-        new = concentrate(rows, now, core)
-        both = new.join(small(now.select("g", F.col("logdet").alias("_before"))), "g")
-        falls = F.col("_before") - F.col("logdet") > SETTLED
-        done.append(stage(both.where(~falls).select(*new.columns), "settled"))
-        now = stage(both.where(falls).select(*new.columns), "open")
+        new = concentrate(rows, now, core, hint)
+        falls = F.col("before") - F.col("logdet") > SETTLED
+        done.append(new.where(~falls).drop("before"))
+        now = new.where(falls).drop("before")
         if not now.limit(1).count():
             break
-    return reduce(DataFrame.union, [*done, now])
+    return stage(reduce(DataFrame.union, [*done, now]), "estimates"), hint
 
 
-def reweighted(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def reweighted(rows: DataFrame, fit: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """g, up, n, centre, scatter: moments of the rows within the 97.5 % quantile of the estimate of their group."""
-    near = with_distance(rows, fit.select("g", "centre", "inverse")).where(F.col("d2") <= chi2_quantile(0.975, D))
+    near = with_distance(rows, fit.select("g", "centre", "inverse"), hint).where(F.col("d2") <= chi2_quantile(0.975, D))
     factor = consistency(0.975)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [centre_and_scatter(m) for m in batch[MOMENTS].to_numpy(float)]
-            yield batch[["g", "up", "n"]].assign(centre=[c.tolist() for c, _ in found], scatter=[(factor * x).ravel().tolist() for _, x in found])
+            found = [centre_and_scatter(np.asarray(m)) for m in batch["m"]]
+            yield batch[["g", "up"]].assign(n=[m[0] for m in batch["m"]], centre=[c.tolist() for c, _ in found], scatter=[(factor * x).ravel().tolist() for _, x in found])
+
+    return stage(near.groupBy("g", "up").agg(_moments().alias("m")).mapInPandas(solve, "g string, up string, n double, centre array<double>, scatter array<double>"), "reweighted")
 
-    return stage(near.groupBy("g", "up").agg(*_sums()).mapInPandas(solve, "g string, up string, n double, centre array<double>, scatter array<double>"), "reweighted")
 
+def shrunk(found: DataFrame, hint: Callable[[DataFrame], DataFrame], prior: float = PRIOR) -> DataFrame:
+    """g, centre, inverse for each source: its moments mixed with ``prior`` rows of its language's, which are mixed with as many of all rows'.
 
-def shrunk(found: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """g, centre, inverse for each source: its moments mixed with ``prior`` rows of its language's, which are mixed with as many of all rows'."""
+    What lies between the two centres counts as scatter only as far as a group's own rows weigh (``w * w * (1 - w)``), so that a few
+    odd documents don't vouch for each other, and a source of many is not judged by its language's centre.
+    """
     named = lambda c: found.select(*(F.col(x).alias(f"{c}_{x}") for x in found.columns))
     top = named("a").where(F.col("a_g") == ALL)
-    rows = named("s").join(small(stage(named("l").where(F.col("l_up") == ALL), "languages")), F.col("s_up") == F.col("l_g")).join(F.broadcast(top), F.col("l_up") == F.col("a_g"))  # top: one row
+    rows = named("s").join(hint(named("l").where(F.col("l_up") == ALL)), F.col("s_up") == F.col("l_g")).join(F.broadcast(top), F.col("l_up") == F.col("a_g"))  # top: one row
 
     def mix(n: float, c: list, s: list, up: tuple) -> tuple:
         c, s, w = np.array(c), np.array(s).reshape(D, D), n / (n + prior)
         apart = c - up[0]
-        return w * c + (1 - w) * up[0], w * s + (1 - w) * up[1] + w * (1 - w) * np.outer(apart, apart)
+        return w * c + (1 - w) * up[0], w * s + (1 - w) * up[1] + w * w * (1 - w) * np.outer(apart, apart)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -277,7 +291,8 @@ def assess(docs: DataFrame, tail: float = TAIL, prior: float = PRIOR) -> DataFra
     stats = stage(stats.withColumn("g", F.concat_ws("\x1f", F.lit("source"), "lang", "source")).withColumn("lang", F.concat_ws("\x1f", F.lit("lang"), "lang")), "counts")
     levels = F.array(F.struct(F.col("g"), F.col("lang").alias("up")), F.struct(F.col("lang").alias("g"), F.lit(ALL).alias("up")), F.struct(F.lit(ALL).alias("g"), F.lit("").alias("up")))
     rows = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("_g"), *DIMS).select("_g.g", "_g.up", *DIMS)
-    fit = shrunk(reweighted(rows, mcd(rows.drop("up"))), prior)
+    fit, hint = mcd(rows.drop("up"))
+    fit = shrunk(reweighted(rows, fit, hint), hint, prior)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = with_distance(stats.where(~F.col("base_failed")), fit).select(*names, "d2", (F.col("d2") <= chi2_quantile(1 - tail, D)).alias("kept"))
+    judged = with_distance(stats.where(~F.col("base_failed")), fit, hint).select(*names, "d2", (F.col("d2") <= chi2_quantile(1 - tail, D)).alias("kept"))
     return judged.unionByName(stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept")))

@@ -105,7 +105,7 @@ def test_estimates_against_sorting(spark):
         x[:, 3] *= i > 0
         groups[f"n{n}"] = x
     rows = spark.createDataFrame([(k, *map(float, r)) for k, x in groups.items() for r in x], ["g", *Q.DIMS])
-    got = {r.g: r for r in Q.mcd(stage(rows)).collect()}
+    got = {r.g: r for r in Q.mcd(stage(rows))[0].collect()}
     assert got.keys() == groups.keys()
     for k, x in groups.items():
         centre, scatter = brute_mcd(x) if len(x) > 1 else (x[0], np.zeros((5, 5)))
@@ -124,7 +124,7 @@ def test_smallest_determinant_of_all_subsets(spark):
         sets = [scatter_of(x, np.isin(np.arange(13), s).astype(float))[1] for s in combinations(range(13), 10)]
         least.append(min(np.linalg.slogdet(Q.consistency(10 / 13) * c + Q.RIDGE)[1] for c in sets))
     rows = spark.createDataFrame([(str(g), *map(float, r)) for g, x in enumerate(groups) for r in x], ["g", *Q.DIMS])
-    got = {r.g: r.logdet for r in Q.mcd(stage(rows)).collect()}
+    got = {r.g: r.logdet for r in Q.mcd(stage(rows))[0].collect()}
     above = [got[str(g)] - v for g, v in enumerate(least)]
     assert sum(x < 1e-6 for x in above) >= 4 and min(above) > -1e-6, above
 
@@ -144,7 +144,7 @@ def brute_verdicts(stats):
 
     def mix(own, up):
         w = own[0] / (own[0] + Q.PRIOR)
-        return w * own[1] + (1 - w) * up[0], w * own[2] + (1 - w) * up[1] + w * (1 - w) * np.outer(own[1] - up[0], own[1] - up[0])
+        return w * own[1] + (1 - w) * up[0], w * own[2] + (1 - w) * up[1] + w * w * (1 - w) * np.outer(own[1] - up[0], own[1] - up[0])
 
     top, d2 = moments(np.ones(len(x), bool))[1:], np.zeros(len(x))
     languages = {k: mix(moments(lang == k), top) for k in set(lang)}
