@@ -6,7 +6,7 @@ content importance of its own text is what its texts lack in repetition; the imp
 both from the leaves up.  Branches of low importance are the site's own furniture and are cut out of every page.
 Elements that HTML itself marks as furniture (menus, headers, footers, asides, forms, scripts, adverts,
 comments) go on any page, also of hosts with few pages.  What only a class or id names so stays if it holds the
-article or most of the text, and a page never comes out empty by names alone.  A page's mark of its article is a prior: only what is
+article or most of the text, and a page with sentences never comes out empty by names alone; one of nothing but furniture does.  A page's mark of its article is a prior: only what is
 marked is kept if one marked part holds at least as much text as all that isn't marked; else both stay, as the marks may be
 teasers.  In an article each text is a leaf of the tree of its own: what most of a host's pages repeat goes, unless
 that is more than half of a page's article, since a host may repeat an article.
@@ -36,6 +36,7 @@ GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.2, 10
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-z]+")
+STOP = re.compile(r"[.!?…。]")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Kinds of elements of HTML, and names of page furniture.
@@ -43,10 +44,10 @@ RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav object ol optgroup option p pre "
+    "h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav object ol optgroup option p pre "
     "section select summary svg table tbody td tfoot th thead tr ul video audio canvas".split()
 )
-FURNITURE = set("head nav footer aside form button select option label dialog menu svg object video audio canvas header".split())
+FURNITURE = set("head nav footer aside form button select option dialog menu svg object video audio canvas header".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promoted promotion banner "
@@ -60,6 +61,11 @@ PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def prose(s: str) -> bool:
+    """Whether a text has at least six words and a sentence's end."""
+    return bool(STOP.search(s)) and len(s.split(None, 6)) >= 6
+
+
 def text_hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
@@ -71,7 +77,8 @@ class Page:
         self.parent, self.tag, self.key, self.noise, self.inside = [-1], ["#root"], [0], [False], [0]  # inside: the outermost marked element
         self.named = [0]  # as in SHARE
         self.children: list[list[int]] = [[]]
-        self.blocks: list[tuple[int, list[str]]] = []
+        self.blocks: list[list[tuple[int, str]]] = []  # each a run of texts, and the elements they stand in
+        self.open: dict[str, int] = defaultdict(int)  # elements of each tag on the stack
         self._parse(source)
         self.unnamed = self.noise
         if any(self.named):
@@ -107,10 +114,15 @@ class Page:
         self.children.append([])
         self.children[up].append(len(self.tag) - 1)
         stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
 
     def _close(self, stack: list[int], tags: set, within: set = frozenset()) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if self.tag[stack[i]] in tags:
+                for j in stack[i:]:
+                    self.open[self.tag[j]] -= 1
                 del stack[i:]
                 return
             if self.tag[stack[i]] in within:
@@ -123,8 +135,8 @@ class Page:
             text = source[at : m.start() if m else len(source)]
             if text:
                 if block is None:
-                    self.blocks.append((stack[-1], block := []))
-                block.append(html.unescape(text) if "&" in text else text)
+                    self.blocks.append(block := [])
+                block.append((stack[-1], html.unescape(text) if "&" in text else text))
             if not m:
                 break
             at = m.end()
@@ -137,10 +149,9 @@ class Page:
                 if structural or tag in ARTICLE:
                     self._close(stack, {tag})
                     block = None
-                elif inline and any(self.tag[i] == tag for i in stack):
+                elif inline and self.open[tag]:
                     self._close(stack, {tag})
                     inline -= 1
-                    block = None
             elif tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else len(source)
@@ -148,13 +159,13 @@ class Page:
                 if tag == "hr":
                     block = None
                 elif tag == "br" and block is not None:
-                    block.append(" ")
+                    block.append((stack[-1], " "))
             elif structural:
                 if tag != "head" and self.tag[stack[-1]] == "head":
-                    stack.pop()
+                    self._close(stack, {"head"})
                 if tag in CLOSES:
                     self._close(stack, *CLOSES[tag])
-                if tag not in ("button", "label", "svg", "select", "option", "object", "canvas", "audio", "video"):
+                if tag not in ("button", "svg", "select", "option", "object", "canvas", "audio", "video"):
                     self._close(stack, {"p"}, {"button", "object", "td", "th", "table"})
                 self._push(stack, tag, attributes)
                 block = None
@@ -163,21 +174,24 @@ class Page:
                 self._push(stack, tag, attributes)
                 if (self.noise[n] or self.named[n]) and not self.noise[stack[-2]]:
                     inline += 1
-                    block = None
                 else:  # inline elements that mark nothing are no nodes
+                    self.open[tag] -= 1
                     stack.pop()
                     self.children[self.parent[n]].pop()
                     for x in (self.parent, self.tag, self.noise, self.named, self.inside, self.key, self.children):
                         x.pop()
 
     def _cut_names(self) -> list[bool]:
-        """``noise`` with the branches that names call furniture, but those that hold the article or more than their SHARE of the text."""
-        held, whole = [0] * len(self.tag), [False] * len(self.tag)
-        for i, parts in self.blocks:
-            if not self.noise[i]:
-                held[i] += sum(len(x.strip()) for x in parts)
+        """``noise`` with the branches that names call furniture, but those that hold the article or more than their SHARE of the text, in sentences."""
+        held, whole, told = [0] * len(self.tag), [False] * len(self.tag), [False] * len(self.tag)
+        for parts in self.blocks:
+            for i, x in parts:
+                if not self.noise[i]:
+                    held[i] += len(x.strip())
+            told[parts[0][0]] |= prose("".join(x for _, x in parts))
         for i in range(len(held) - 1, 0, -1):
             held[self.parent[i]] += held[i]
+            told[self.parent[i]] |= told[i]
         for i in range(1, len(whole)):
             whole[i] = whole[self.parent[i]] or self.named[i] == 2
         marked = [i for i in range(1, len(held)) if self.inside[i] == i and held[i] and (not whole[i] or 2 * held[i] > held[0])]
@@ -193,7 +207,7 @@ class Page:
                 if article and self.inside[i] == article:
                     noise[i] |= held[i] <= SHARE[n] * held[article]
                 else:
-                    noise[i] |= bool(article) and n == 2 or held[i] <= SHARE[n] * held[0]
+                    noise[i] |= n == 2 and (bool(article) or not told[i]) or held[i] <= SHARE[n] * held[0]
         return noise
 
     def text(self, furniture: set[int] | frozenset = frozenset(), repeated: set[tuple[int, int]] | frozenset = frozenset(), names: bool = True) -> str:
@@ -201,7 +215,11 @@ class Page:
         cut = list(self.noise if names else self.unnamed)
         for i in range(1, len(cut)):
             cut[i] = cut[i] or cut[self.parent[i]] or self.key[i] in furniture and self.cuttable(i)
-        blocks = [(self.inside[i], i, s) for i, parts in self.blocks if not cut[i] and (s := " ".join("".join(parts).split()))]
+        blocks = []
+        for parts in self.blocks:
+            left = [(i, x) for i, x in parts if not cut[i]]
+            if left and (s := " ".join("".join(x for _, x in left).split())):
+                blocks.append((self.inside[left[0][0]], left[0][0], s))
         if repeated:
             again = {k for k, (inside, i, s) in enumerate(blocks) if inside and (self.key[i], text_hash(s)) in repeated}
             if 2 * sum(len(blocks[k][2]) for k in again) <= sum(len(s) for inside, _, s in blocks if inside):
@@ -214,7 +232,8 @@ class Page:
         if not blocks and furniture:
             return self.text()
         if not blocks and names and self.noise is not self.unnamed:
-            return self.text(names=False)
+            whole = self.text(names=False)  # a page of nothing but furniture holds no sentences
+            return whole if any(prose(x) for x in whole.split("\n\n")) else ""
         return "\n\n".join(s for _, _, s in blocks)
 
     def cuttable(self, i: int) -> bool:
@@ -226,8 +245,10 @@ class Page:
         for i in range(1, len(self.tag)):
             style = xxhash.xxh64(",".join(self.tag[c] for j, c in enumerate(self.children[i]) if not j or self.tag[c] != self.tag[self.children[i][j - 1]])).intdigest()
             own[self.key[i], self.key[self.parent[i]], 0, style - (1 << 63)] += 1
-        for i, parts in self.blocks:
-            if i and (s := " ".join("".join(parts).split())):
+        for parts in self.blocks:
+            left = [(i, x) for i, x in parts if not self.noise[i]] or parts
+            i = left[0][0]
+            if i and (s := " ".join("".join(x for _, x in left).split())):
                 own[self.key[i], self.key[self.parent[i]], 2 if self.inside[i] and not self.noise[i] else 1, text_hash(s)] += 1
         return ((*k, n) for k, n in own.items())
 
@@ -265,7 +286,7 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
         else:
             weight = GAMMA**r.styles
             value[p] = (1 - weight) * r.entropy + weight * inner
-    gone = [p for p in order if rows[p].m >= MIN_PAGES and value[p] < THRESHOLD]
+    gone = [p for p in order if rows[p].pages >= MIN_PAGES and value[p] < THRESHOLD]
     return pd.DataFrame({"host": [nodes["host"].iloc[0]], "paths": [gone]})
 
 
@@ -276,17 +297,20 @@ def style_values(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(values: DataFrame) -> DataFrame:
-    """``values``: of :func:`style_values` -> host, path, up, m, styles, entropy, texts, content: a row for each path of each host."""
+    """``values``: of :func:`style_values` -> host, path, up, m, styles, entropy, texts, content, pages: a row for each path of each host.
+
+    ``pages``: how many pages have the path's most common style, so at least as many have the path.
+    """
     style, text = F.col("kind") == 0, F.col("kind") > 0
     xlogx = lambda c: F.col(c) * F.log(F.col(c))
     nodes = values.groupBy("host", "path", "up").agg(
         F.sum(F.when(style, F.col("n"))).alias("m"), F.count(F.when(style, 1)).alias("styles"), F.sum(F.when(style, xlogx("n"))).alias("e"),
-        F.coalesce(F.sum(F.when(text, F.col("n"))), F.lit(0)).alias("texts"), F.sum(F.when(text, F.col("n") * F.log("on"))).alias("c"), F.max(F.when(text, F.col("on"))).alias("most"),
+        F.coalesce(F.sum(F.when(text, F.col("n"))), F.lit(0)).alias("texts"), F.sum(F.when(text, F.col("n") * F.log("on"))).alias("c"), F.max(F.when(style, F.col("on"))).alias("pages"),
     )
     log_m = F.log(F.col("m").cast("double"))
     entropy = F.when(F.col("m") > 1, (log_m - F.col("e") / F.col("m")) / log_m).otherwise(1.0)
     content = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("c") / F.col("texts") / log_m)).otherwise(1.0)
-    return nodes.select("host", "path", "up", "m", "styles", entropy.alias("entropy"), "texts", F.coalesce(content, F.lit(1.0)).alias("content"))
+    return nodes.select("host", "path", "up", "m", "styles", entropy.alias("entropy"), "texts", F.coalesce(content, F.lit(1.0)).alias("content"), "pages")
 
 
 def furniture(pages: DataFrame) -> DataFrame:

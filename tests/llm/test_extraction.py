@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 from mergetide.llm import extraction as X
 
@@ -20,7 +23,7 @@ def test_article_alone():
 
 
 def test_without_article():
-    assert text("<body><div class='nav-menu'>m</div><p>A<p>B <span class=ad>no <i>x</i></span> c<div hidden>h</div></body>") == "A\n\nB\n\nc"
+    assert text("<body><div class='nav-menu'>m</div><p>A<p>B <span class=ad>no <i>x</i></span> c<div hidden>h</div></body>") == "A\n\nB c"
     assert text("plain &amp; simple") == "plain & simple" and text("") == "" and text("<p>1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
 
 
@@ -89,3 +92,40 @@ def test_names_cut_no_page_empty():
     cards = "<div class='related'><article>A card</article></div><section id='comments'><article class='comment'>Nice</article></section>"
     assert text(f"<body><div class='no-sidebar'><p>{story}</p></div>{cards}</body>") == story
     assert text(f"<article>Short</article><div class='ad'>{story}</div>") == "Short"
+
+
+def test_furniture_alone_and_inline_parts():
+    assert text("<body><nav>Home</nav><div class='cookie-notice'>We use cookies</div><footer>Imprint</footer></body>") == "" and text("<div class='sidebar'>Weather today</div>") == ""
+    assert text("<p>One <label>two</label> three</p>") == "One two three" and text("<p>One <span class='ad'>buy</span> three</p>") == "One three"
+    assert text("<p><span class='ad'>buy</span>One</p><p>Two</p>") == "One\n\nTwo"
+    assert text("<div id='page' class='site no-sidebar'><main><p>Short</p></main></div>") == "Short" and text("<article class='legal-news'><p>Short</p></article>") == "Short"
+
+
+def test_deep_pages_take_linear_time():
+    for source in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<div>" * 100_000 + "deep", "<ul><li>" * 50_000 + "deep", "<b class='ad-x'>" * 20_000 + "x" + "</b>" * 20_000 + "deep"):
+        began = time.process_time()
+        assert text(source).endswith("deep")
+        assert time.process_time() - began < 30
+
+
+def test_style_tree_by_brute_force(spark):
+    """The importance of every branch of a host, from nested dictionaries in memory."""
+    rng = random.Random(4)
+    pages = [f"<body><div class=q><p>Weather</p><p>Call {rng.randint(0, 1)}</p></div><div class=z>" + "".join(f"<p>Story {i} {rng.random()}</p>" for _ in range(rng.randint(1, 4))) + "</div><span class=ad>x</span></body>" for i in range(12)]
+    frame = spark.createDataFrame([("h", x) for x in pages], "host string, html string")
+    tree = X.style_tree(X.style_values(frame)).collect()
+    nodes = {}
+    for n, x in enumerate(pages):
+        for path, up, kind, value, count in X.Page(x).features():
+            node = nodes.setdefault(path, {"up": up, 0: {}, 1: {}, 2: {}})
+            c, on = node[kind].get(value, (0, set()))
+            node[kind][value] = (c + count, on | {n})
+    assert {r.path for r in tree} == set(nodes)
+    for r in tree:
+        own = nodes[r.path]
+        m = sum(c for c, _ in own[0].values())
+        entropy = -sum(c / m * math.log(c / m) for c, _ in own[0].values()) / math.log(m) if m > 1 else 1
+        texts = [x for k in (1, 2) for x in own[k].values()]
+        total = sum(c for c, _ in texts)
+        content = max(0, 1 - sum(c * math.log(len(on)) for c, on in texts) / total / math.log(m)) if texts and m > 1 else 1
+        assert r.m == m and abs(r.entropy - entropy) < 1e-9 and r.texts == total and (not total or abs(r.content - content) < 1e-9) and r.pages == max(len(on) for _, on in own[0].values())
