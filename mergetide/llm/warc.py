@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,8 @@ from .common import new_path, small, stage
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 4000
+#: Payload bytes of an archive; pages are written by classes of size, from each class's upper bound to its records in a file.
+FILE_BYTES, CLASS_BYTES = 64 << 20, (16 << 10, 256 << 10, 4 << 20, 64 << 20)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -76,12 +78,20 @@ def records(pages: DataFrame, revisits: DataFrame, date: str = DATE) -> DataFram
     return rows.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write deduplicated archives below ``path``."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, classes: Sequence[int] = CLASS_BYTES) -> None:
+    """Write deduplicated archives below ``path``, of at most ``records_per_file`` records and about ``file_bytes`` payload bytes.
+
+    Pages go by classes of size: those of up to ``classes[i]`` bytes, so many to a file that they can't exceed it; larger ones than
+    all classes have files of their own.  A class without pages, but the first, is not written.
+    """
     body = F.coalesce(pages["html"].cast("binary"), F.lit(b""))
     headers = stage(pages.select(pages["page_id"].cast("long").alias("page_id"), payload_digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes")), "headers")
     revisits = stage(resolve(headers, min_bytes), "revisits")
-    records(pages, revisits, date).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.octet_length(body)
+    of = lambda n: sum((F.when(n > bound, 1).otherwise(0) for bound in classes), F.lit(0))
+    for i in sorted({0, *(r[0] for r in headers.select(of(F.col("payload_bytes")).alias("c")).distinct().collect())}):
+        count = max(1, min(records_per_file, file_bytes // classes[i])) if i < len(classes) else 1
+        records(pages.where(of(size) == i), revisits, date).write.option("lineSep", END).option("maxRecordsPerFile", count).text(f"{path}/class-{i}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

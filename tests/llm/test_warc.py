@@ -48,3 +48,16 @@ def test_empty(pages):
 def test_damage_is_found():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+
+
+def test_files_are_rolled_by_bytes(spark):
+    """Classes of size, each with its number of records in a file; what is read back is the same."""
+    rows = [(i, f"http://h/{i}", f"{i} " + "x" * n) for i, n in enumerate([10] * 30 + [900] * 12 + [40_000] * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "rolled")
+    warc.write_archives(df, path, file_bytes=4000, classes=(100, 1000))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "length").collect()
+    counts = {c: sum(f"class-{c}/" in f.path for f in files) for c in range(3)}
+    assert counts == {0: 1, 1: 3, 2: 3}, counts
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: t for i, _, t in rows}
