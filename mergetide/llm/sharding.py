@@ -3,14 +3,17 @@
 Arrivals are appended as small immutable Parquet shards.  A compaction looks at the live shards, takes those below
 the target size tier by tier (a tier holds sizes within a factor of ``FACTOR`` of its smallest), and merges runs of one
 tier into files of about the target size; a tier with fewer than ``FAN_IN`` runs waits.  Every change is
-committed by renaming a finished manifest to the next version's name, which succeeds for one writer only.
+committed by renaming a finished manifest to the next version's name, which succeeds for one writer only where renaming is atomic (HDFS
+and local disks; an object store needs a committer with conditional puts).
 Shards that no manifest names are leftovers of a failed writer and are removed by :meth:`ShardStore.vacuum`.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,10 @@ from pyspark.sql.types import StructType
 from .common import new_path
 
 TARGET_BYTES, FAN_IN, FACTOR, CODEC = 128 << 20, 4, 4, "zstd"
-#: Merges written by one job.
-MERGES_PER_JOB = 64
+#: Merges written by one job, and jobs that run at once.
+MERGES_PER_JOB, JOBS = 64, 16
+#: Seconds for which a shard that no manifest names may still belong to a writer at work.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -123,12 +128,15 @@ class ShardStore:
             if not merges:
                 return base
             schema = _schema(base["schema"])
-            new = []
-            for i in range(0, len(merges), MERGES_PER_JOB):
+
+            def merge(groups: list, schema=schema) -> list[dict]:
                 run = f"m-{uuid.uuid4().hex}"
-                parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/shards/{x['name']}" for x in group)).coalesce(1) for group in merges[i : i + MERGES_PER_JOB]]
+                parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/shards/{x['name']}" for x in group)).coalesce(1) for group in groups]
                 reduce(DataFrame.union, parts).write.option("compression", CODEC).parquet(f"{self.path}/shards/{run}")
-                new += self._written(run)
+                return self._written(run)
+
+            with ThreadPoolExecutor(JOBS) as pool:  # the jobs of a round run side by side
+                new = [x for found in pool.map(merge, [merges[i : i + MERGES_PER_JOB] for i in range(0, len(merges), MERGES_PER_JOB)]) for x in found]
             gone = {x["name"] for group in merges for x in group}
 
             def swap(now: dict, gone=gone, new=new) -> dict:
@@ -138,15 +146,19 @@ class ShardStore:
 
             self._retry(swap)
 
-    def vacuum(self, keep_versions: int = 1) -> list[str]:
-        """Remove shards that none of the last ``keep_versions`` manifests names, and older manifests."""
+    def vacuum(self, keep_versions: int = 1, grace: float = GRACE) -> list[str]:
+        """Remove shards that none of the last ``keep_versions`` manifests names, and older manifests.
+
+        A shard younger than ``grace`` seconds stays, as a writer may be about to commit it: no append or merge may take longer.
+        """
+        before = 1000 * (time.time() - grace)
         versions = self.versions()
         kept = {x["name"] for v in versions[-keep_versions:] for x in self.manifest(v)["shards"]}
         gone = []
         for run in self.fs.listStatus(self._path("shards")):
             for x in self.fs.listStatus(run.getPath()):
                 name = f"{run.getPath().getName()}/{x.getPath().getName()}"
-                if name.endswith(".parquet") and name not in kept:
+                if name.endswith(".parquet") and name not in kept and x.getModificationTime() <= before:
                     self.fs.delete(x.getPath(), False)
                     gone.append(name)
         for v in versions[:-keep_versions]:
@@ -184,7 +196,7 @@ def compacted(docs: DataFrame, arrivals: int = 4, target_bytes: int = TARGET_BYT
     for i in range(arrivals):
         store.append(docs.where(number == i))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=-60)  # the only writer has ended
     m = store.manifest()
     sizes = spark.createDataFrame([(x["name"], x["bytes"]) for x in m["shards"]], "_shard string, shard_bytes long")
     rows = store.read(names=True).select(F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("text_bytes"), F.xxhash64("text").alias("text_hash"), "_shard")

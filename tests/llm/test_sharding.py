@@ -20,7 +20,8 @@ def test_round_trip_and_versions(spark):
     assert after["version"] > 6 and len(after["shards"]) < 12 and not store.plan(after["shards"])
     whole = sorted(str(r) for p in parts for r in p.collect())
     assert lines(store.read()) == whole and lines(store.read(6)) == whole and store.read(2).count() == 2000
-    assert len(store.vacuum()) >= 12 and lines(store.read()) == whole
+    assert store.vacuum() == []  # what is young may belong to a writer
+    assert len(store.vacuum(grace=-60)) >= 12 and lines(store.read()) == whole
     store.append(parts[0])
     assert store.read().count() == 7000
 
@@ -47,7 +48,7 @@ def test_leftovers_are_not_read(spark):
     store = sharding.ShardStore(spark, new_path(spark, "store"))
     store.append(spark.range(3))
     spark.range(5).write.parquet(f"{store.path}/shards/a-lost")
-    assert store.read().count() == 3 and store.vacuum() and store.read().count() == 3
+    assert store.read().count() == 3 and store.vacuum(grace=-60) and store.read().count() == 3
 
 
 def test_odd_rows(docs, no_docs):
