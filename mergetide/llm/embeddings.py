@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, stage
 
 THRESHOLD = 0.93
-#: Vectors and bytes of a tile; dimensions taken at a time; dimensions up to which a full basis is computed.
-TILE_ROWS, TILE_BYTES, STEP, FULL_BASIS = 2048, 4 << 20, 16, 512
+#: Vectors and bytes of a tile; dimensions taken at a time; principal components that are computed.
+TILE_ROWS, TILE_BYTES, STEP, COMPONENTS = 2048, 4 << 20, 16, 64
 #: Computed cosines this close to the threshold are computed again from the vectors as given.
 MARGIN = 1e-9
 
@@ -39,14 +39,30 @@ def usable(e):
     return e.isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for d, (_, v) in _by_dim(b, 0).items():
-            u = _unit(v)
-            sums[d] = sums.get(d, 0) + (u.T @ u if d <= FULL_BASIS else (u * u).sum(axis=0))
-    for d, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d)), pa.array(np.arange(s.size)), pa.array(s.ravel())], names=["dim", "cell", "v"])
+def _image(known: dict[int, np.ndarray]):
+    """Of each dimension the cells of the second moments times a matrix: that in ``known``, or else the first of a random one."""
+
+    def image(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for d, (_, v) in _by_dim(b, 0).items():
+                u = _unit(v)
+                sums[d] = sums.get(d, 0) + u.T @ (u @ known.get(d, probe(d)))
+        for d, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d)), pa.array(np.arange(s.size)), pa.array(s.ravel())], names=["dim", "cell", "v"])
+
+    return image
+
+
+def probe(d: int) -> np.ndarray:
+    """The start of the search for components: as many directions as are wanted, all if the dimension has no more."""
+    return np.eye(d) if d <= COMPONENTS else np.linalg.qr(np.random.default_rng(d).normal(size=(d, COMPONENTS)))[0]
+
+
+def turn(u: np.ndarray, components: np.ndarray) -> np.ndarray:
+    """Coordinates whose products are those of ``u``: along the components first, then what is left of each vector."""
+    along = u @ components
+    return along if components.shape[0] == components.shape[1] else np.hstack([along, u - along @ components.T])
 
 
 def _by_dim(b: pa.RecordBatch, column: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -58,14 +74,24 @@ def _by_dim(b: pa.RecordBatch, column: int) -> dict[int, tuple[np.ndarray, np.nd
 
 
 def bases(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension the principal components, as columns, the largest first; of long vectors an order of their dimensions."""
-    sums: dict[int, dict[int, float]] = {}
-    for r in classes.select("e").mapInArrow(_moments, "dim long, cell long, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).collect():
-        sums.setdefault(r["dim"], {})[r["cell"]] = r["v"]
+    """For each dimension its leading principal components, as columns, the largest first, by randomised subspace iteration.
+
+    The driver holds at most ``COMPONENTS`` numbers for each dimension of a vector.
+    """
+
+    def images(known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        cells: dict[int, dict[int, float]] = {}
+        for r in classes.select("e").mapInArrow(_image(known), "dim long, cell long, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).collect():
+            cells.setdefault(r["dim"], {})[r["cell"]] = r["v"]
+        return {d: np.array([c[i] for i in range(len(c))]).reshape(d, -1) for d, c in cells.items()}
+
+    first = images({})
+    known = {d: np.linalg.qr(y)[0] if y.shape[0] > y.shape[1] else np.eye(d) for d, y in first.items()}
+    second = images(known) if any(d > COMPONENTS for d in first) else first
     out = {}
-    for d, cells in sums.items():
-        s = np.array([cells[i] for i in range(len(cells))])
-        out[d] = np.linalg.eigh(s.reshape(d, d))[1][:, ::-1] if d <= FULL_BASIS else np.eye(d)[:, np.argsort(-s)]
+    for d, q in known.items():
+        small = q.T @ (second[d] if q.shape[1] < d else first[d])
+        out[d] = q @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
     return out
 
 
@@ -85,9 +111,9 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 def compare(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the rows of ``a`` and ``b`` whose cosine reaches the threshold, block by block; ``same``: only i < j."""
     if not same:
-        u, w = _unit(a) @ basis, _unit(b) @ basis
+        u, w = turn(_unit(a), basis), turn(_unit(b), basis)
     else:
-        u = w = _unit(a) @ basis
+        u = w = turn(_unit(a), basis)
     d = u.shape[1]
     steps = list(range(0, d, STEP)) + [d]
     norms = lambda x: {k: np.sqrt(np.maximum((x[:, k:] ** 2).sum(axis=1), 0)) for k in steps[1:]}

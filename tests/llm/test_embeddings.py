@@ -71,3 +71,18 @@ def test_bounds_lose_nothing(same):
     got = {(int(i), int(j)) for x, y in E.compare(a, b, basis, 0.93, same) for i, j in zip(x, y, strict=True)}
     cosine = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(cosine >= 0.93), strict=True) if not same or i < j}
+
+
+def test_long_vectors(spark):
+    """1024 dimensions, more than there are components: the links of all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 1024)) * np.linspace(3, 0.1, 1024)
+    x = np.vstack([base, base + rng.normal(size=base.shape) * 0.3, base[:5] * 2, rng.normal(size=(20, 1024))])
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None] % 2)
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 20 and all(got[i].n_links == linked[i].sum() for i in range(len(x)))
+    v = E.probe(1024)
+    assert np.allclose(E.turn(u, v) @ E.turn(u, v).T, u @ u.T)
