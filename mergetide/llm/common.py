@@ -1,88 +1,20 @@
-"""Shared pieces: table loading, staged tables in the shared folder, and connected components.
-
-A *staged* table is written as Parquet below ``spark.checkpoint.dir`` and read back.  It cuts the
-lineage, survives lost executors, and lets adaptive execution see two plain exchanges below a join, so
-that it can split a hot key.
-"""
+"""Shared pieces: table loading, slices of batches, and connected components on staged tables."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side of a join is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 100_000
-_made: list = []
-
+from ..sources.staged import BROADCAST_ROWS, discard, new_path, remove, small, stage  # noqa: F401
 
+WORD = r"[^\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.  A temporary one serves only a local session without the setting."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mergetide-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/mergetide/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            remove(spark, path)
-
-
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove staged tables that nothing needs any more."""
-    for df in tables:
-        remove(df.sparkSession, df.staged_at)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
-    """Mark a staged table for broadcast if it has at most ``rows`` rows; else leave the join to shuffle.
-
-    ``weight``: what a row counts for, if it may be long.
-    """
-    n = df.limit(rows + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= rows else df
-
-
 def key_of(source: Column) -> Column:
     """A non-null string that tells all values apart, null included."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
@@ -109,9 +41,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not e.groupBy("u").count().where("count > 1").limit(1).count() and not e.join(e.select(u.alias("v")), "v", "left_semi").limit(1).count():
             return e.select(u.alias("node"), v.alias("comp")).union(e.select(v.alias("node"), v.alias("comp")).distinct())
         both = e.union(e.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.join(low, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(low, "u").where("v <> m").select(v.alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        # staged, so that the join is one of two plain exchanges, of which adaptive execution splits the hubs, or a broadcast
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = stage(both.join(small(low), "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        step = large.join(small(least), "u").where("v <> m").select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         before, e = e, stage(step.distinct(), "edges")
-        discard(before, large)
+        discard(before, large, low, least)
