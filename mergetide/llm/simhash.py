@@ -1,13 +1,15 @@
 """SimHash near-duplicates through an inverted index of positional bytes with count filtering.
 
 Fingerprints that differ in at most two bits agree in at least six of their eight bytes.  The index lists
-fingerprints by positional bytes; a posting is keyed by four of them (two of the four byte pairs), which
-every wanted pair shares at least once, so lists stay short.  For each pair met in a list the shared
-positional bytes are tallied, pairs with fewer than six are dropped, the others are verified bit by bit.
+fingerprints by four positional bytes at a time, in 14 blocks of which any three positions lie in exactly
+one.  So whoever shares six or more positional bytes meets in blocks that cover them all, and whoever
+shares five meets once: the union of the blocks in which a pair meets tallies its shared bytes, pairs
+with fewer than six are dropped, and the others are verified bit by bit.
 
 A list of more than ``LONG_LIST`` fingerprints (a large family of near copies) is not paired off.  There each
 fingerprint is listed under itself and its 64 one-bit variants: two fingerprints are within two bits
 exactly if they share a variant, and a variant has at most 65 of them, so links to the smallest suffice.
+A pair that meets in any long list is linked there, and one that meets in none has its whole tally.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, slices, small, stage
 
 MAX_BITS, MIN_BYTES, LONG_LIST = 2, 6, 32
+#: The planes of a space of eight points: sets of four positions whose numbers cancel out.
+BLOCKS = [x for x in combinations(range(8), 4) if not x[0] ^ x[1] ^ x[2] ^ x[3]]
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -55,15 +59,16 @@ def fingerprints(keyed: DataFrame, words_per_shingle: int = 3) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fps`` (fp, staged) that join all those within two bits."""
-    pair = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(pair(i), 16)).bitwiseOR(pair(j)) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lengths = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lengths")
-    lists = stage(postings.join(lengths, "key"), "lists")
-    a, b = lists.where(F.col("n") <= LONG_LIST).select("key", F.col("fp").alias("a")), lists.where(F.col("n") <= LONG_LIST).select("key", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.when(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(1, 8)), F.when(differ.bitwiseAND(F.lit(255)) == 0, 1).otherwise(0))
-    pairs = a.join(b, "key").where("a < b").where(shared >= MIN_BYTES).where(F.bit_count(differ) <= MAX_BITS).select("a", "b")
+    masks = [sum(255 << 8 * i for i in block) for block in BLOCKS]
+    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) * (m >> 63))) for m in masks])
+    postings = fps.select("fp", F.posexplode(parts).alias("block", "part"))
+    lengths = stage(postings.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lengths")
+    lists = stage(postings.join(lengths, ["block", "part"]), "lists")
+    short = lists.where(F.col("n") <= LONG_LIST)
+    a, b = short.select("block", "part", F.col("fp").alias("a")), short.select("block", "part", F.col("fp").alias("b"))
+    covered = F.get(F.array(*[F.lit(sum(1 << i for i in block)) for block in BLOCKS]), F.col("block"))
+    tallied = a.join(b, ["block", "part"]).where("a < b").groupBy("a", "b").agg(F.bit_count(F.bit_or(covered)).alias("shared"))
+    pairs = tallied.where(F.col("shared") >= MIN_BYTES).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     long = lists.where(F.col("n") > LONG_LIST).select("fp").distinct()
     flips = [F.lit(0), *[F.lit((1 << i) - (1 << 64) * (i == 63)) for i in range(64)]]
     long = long.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("variant"))

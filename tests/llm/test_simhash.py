@@ -61,6 +61,32 @@ def test_long_lists_lose_no_link(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({*map(frozenset, groups.values())}) == len(groups)
 
 
+def test_blocks_tally_shared_bytes():
+    """Of six or more shared positions the blocks within them cover all; of fewer they never reach six."""
+    from itertools import combinations
+
+    assert len(simhash.BLOCKS) == 14
+    for n in range(8):
+        for same in combinations(range(8), n):
+            tally = len(set().union(*(b for b in simhash.BLOCKS if set(b) <= set(same))))
+            assert tally == n if n >= simhash.MIN_BYTES else tally < simhash.MIN_BYTES
+
+
+def test_links_of_short_lists_are_all_pairs_within_two_bits(spark):
+    from mergetide.llm.common import stage
+
+    rng = np.random.default_rng(7)
+    fps = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)}
+    for x in list(fps):
+        for bits in (1, 2, 3, 4):
+            fps.add(int(np.int64(x) ^ np.bitwise_or.reduce(np.int64(1) << rng.choice(64, bits, replace=False).astype(np.int64))))
+    fps = sorted(fps)
+    u = np.array(fps, np.int64).view(np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= 2, 1))
+    got = simhash.fingerprint_links(stage(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()
+    assert {(r.a, r.b) for r in got} == {(fps[i], fps[j]) for i, j in near}
+
+
 def test_odd_rows(docs):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
