@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import WORD, small, stage
 from .mixing import word_count
+from .simhash import classes, key
 
 CAPACITY, GROUP_ROWS = 2048, 4096
 
@@ -100,11 +101,17 @@ def pack_rows(rows: Iterable[tuple], capacity: int) -> list[tuple[int, int]]:
     return [packer.add(*x) for x in rows]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, size=None, cluster=None) -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
+    """k, component: a row for each document, with its group of near copies by fingerprint."""
+    return classes(docs.select(key(docs).alias("k"), docs["text"].alias("text"))).select("k", "component")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, size=None, cluster=None, clusters: DataFrame | None = None) -> DataFrame:
     """doc_id, source, piece, start, size, bin_id, bin_offset: one row for each piece of each document.
 
     ``size`` and ``cluster`` are columns of ``docs``; by default the number of words (null text: 0) and a
-    hash of the text, so that exact copies never share a bin.  A document longer than ``capacity`` is cut into pieces
+    hash of the text, so that exact copies never share a bin.  ``clusters`` (k, component, as
+    :func:`near_copies` gives them) names them by document instead; a null or blank text has none.  A document longer than ``capacity`` is cut into pieces
     of ``capacity``, which fill bins by themselves, and a rest that is packed; the pieces cover it whole.
     Two pieces of one source, or of one cluster, never share a bin; a null source or cluster conflicts
     with nothing.  A document of size 0 gets one piece of size 0 in no bin (null).  In a group, pieces go largest
@@ -112,8 +119,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     full pieces have bins of their own.  An empty table gives an empty table.
     """
     text = docs["text"]
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), (word_count(text) if size is None else F.coalesce(docs[size].cast("long"), F.lit(0).cast("long"))).alias("words"), (F.xxhash64(text) if cluster is None else docs[cluster].cast("long")).alias("cluster"), F.xxhash64(docs["doc_id"], text).alias("h"), text.isNull().alias("blank"))
-    rows = stage(rows.withColumn("cluster", F.when(~F.col("blank") if cluster is None else F.lit(True), F.col("cluster"))).drop("blank"), "sizes")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), (word_count(text) if size is None else F.coalesce(docs[size].cast("long"), F.lit(0).cast("long"))).alias("words"), (F.xxhash64(text) if cluster is None else docs[cluster].cast("long")).alias("cluster"), F.xxhash64(docs["doc_id"], text).alias("h"), text.isNull().alias("blank"), key(docs).alias("k"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("some"))
+    if clusters is not None:
+        named = stage(clusters.groupBy("k").agg(F.min("component").alias("cluster")), "clusters")
+        rows = stage(rows, "slim").drop("cluster").join(small(named), "k", "left").withColumn("cluster", F.when(F.col("some"), F.col("cluster")))
+    rows = stage(rows.withColumn("cluster", F.when(~F.col("blank") if cluster is None else F.lit(True), F.col("cluster"))).drop("blank", "k", "some"), "sizes")
     n = max(1, -(-rows.count() // group_rows))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity)))))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("size", F.least(F.col("words") - F.col("start"), F.lit(capacity).cast("long")))

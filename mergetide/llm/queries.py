@@ -25,7 +25,8 @@ def op4_language_id(spark, sf_dir):
 
 
 def op5_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=packing.near_copies(docs))
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

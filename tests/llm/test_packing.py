@@ -71,8 +71,43 @@ def test_documents_are_whole(spark):
     assert all(len(x) == len(set(x)) for x in by.values())
 
 
+def test_near_copies_never_share_a_bin(spark):
+    """One word of the first row's text is changed, far from its ends, so that the fingerprints are within two bits."""
+    words = [f"w{i % 211}" for i in range(900)]
+    near = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(300, 306)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate([" ".join(words), *near, "quite another text", "and one more"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    group = {r.k: r.component for r in packing.near_copies(df).collect()}
+    assert len(set(group.values())) == 3 and group[1] == group[6] == 0
+    got = packing.pack(df, capacity=4000, clusters=packing.near_copies(df)).collect()
+    check(got, 4000, {i: len(t.split()) for i, t, _ in rows})
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(group[r.doc_id])
+    assert all(len(x) == len(set(x)) for x in bins.values()) and len(bins) == 7
+    assert len({r.bin_id for r in packing.pack(df, capacity=4000).collect()}) == 2
+
+
+def test_query_takes_groups_of_near_copies(spark):
+    from mergetide.llm import queries
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    words = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
+    group = {r.k: r.component for r in packing.near_copies(docs).collect()}
+    got = queries.op5_best_fit_packing(spark, DATA).collect()
+    check(got, packing.CAPACITY, words)
+    bins = {}
+    for r in got:
+        if r.bin_id and r.size < packing.CAPACITY:
+            bins.setdefault(r.bin_id, []).append(group[r.doc_id])
+    assert all(len(x) == len(set(x)) for x in bins.values())
+
+
 def test_odd_rows(docs, no_docs):
     rows = packing.pack(docs).collect()
+    by_group = packing.pack(docs, clusters=packing.near_copies(docs)).collect()
+    assert sorted((str(r.doc_id), r.piece, r.size) for r in by_group) == sorted((str(r.doc_id), r.piece, r.size) for r in rows)
+    assert packing.pack(no_docs, clusters=packing.near_copies(no_docs)).count() == 0
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     assert sum(r.size for r in rows if r.doc_id == 6) == 60_000 and sum(r.doc_id == 2 for r in rows) == 2
     assert all(r.bin_id is None and r.size == 0 for r in rows if r.doc_id in (3, 4, 5))
