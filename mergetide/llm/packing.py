@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     of ``capacity``, which fill bins by themselves, and a rest that is packed; the pieces cover it whole.
     Two pieces of one source, or of one cluster, never share a bin; a null source or cluster conflicts
     with nothing.  A document of size 0 gets one piece of size 0 in no bin (null).  In a group, pieces go largest
-    first, ties by id and text hash, so reruns agree; rows that repeat an id are packed each, and their
+    first, ties by id, text hash and source, so reruns agree; rows that repeat an id are packed each, and their
     full pieces have bins of their own.  An empty table gives an empty table.
     """
     text = docs["text"]
@@ -139,11 +139,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     full = long.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("start"), filled.alias("size"), name.alias("bin_id"), zero.alias("bin_offset"))
     empty = pieces.where("size = 0").select("doc_id", "source", "piece", "start", "size", F.lit(None).cast("string").alias("bin_id"), zero.alias("bin_offset"))
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "doc_id", "h", "piece"], ascending=[False, True, True, True], kind="stable")
-        value = lambda c: [None if pd.isna(x) else x for x in part[c].astype(object)]
-        placed = pack_rows(zip(part["size"].tolist(), value("source"), value("cluster"), strict=True), capacity)
-        return part.assign(bin_id=[f"{key[0]}-{b}" for b, _ in placed], bin_offset=[o for _, o in placed])[["doc_id", "source", "piece", "start", "size", "bin_id", "bin_offset"]]
+    order = [("size", "descending"), ("doc_id", "ascending"), ("h", "ascending"), ("piece", "ascending"), ("source", "ascending")]
 
-    packed = pieces.where((F.col("size") < capacity) & (F.col("size") > 0)).groupBy("g").applyInPandas(one, full.schema)
+    def one(group: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by(order)
+        placed = pack_rows(zip(*(part[c].to_pylist() for c in ("size", "source", "cluster")), strict=True), capacity)
+        bins = pa.array([f"{group[0].as_py()}-{b}" for b, _ in placed], pa.string()), pa.array([o for _, o in placed], pa.int64())
+        return part.select(["doc_id", "source", "piece", "start", "size"]).append_column("bin_id", bins[0]).append_column("bin_offset", bins[1])
+
+    packed = pieces.where((F.col("size") < capacity) & (F.col("size") > 0)).groupBy("g").applyInArrow(one, full.schema)
     return packed.unionByName(full).unionByName(empty)
