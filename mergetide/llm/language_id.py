@@ -16,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 
 ORDER = 4
-#: Bounds of the training sample: documents and bytes of a language, characters of a document.
+#: Bounds of the training sample: documents and bytes of a language, characters taken of a document.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_CHARS = 300, 1_000_000, 20_000
 #: Bound of the model: entries of the longest contexts times languages.
 MAX_CELLS = 6_000_000
@@ -160,22 +160,25 @@ def held_out(doc_id):
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_chars: int = SAMPLE_CHARS, max_cells: int = MAX_CELLS) -> Model | None:
     """Fit on a bounded sample of the labelled documents that are not held out; None if there are none.
 
-    Of each language the texts of at most ``sample_chars`` characters with the smallest hashes are taken,
-    up to ``sample_docs`` and ``sample_bytes``.
+    Of each language the documents with the smallest hashes are taken, up to ``sample_docs`` and
+    ``sample_bytes``; of a text longer than ``sample_chars`` a stretch of that length, whose place the hash
+    decides.  The bounds hold before anything reaches the driver.
     """
-    learn = docs.where(docs["doc_id"].isNotNull() & docs["lang"].isNotNull() & ~held_out(docs["doc_id"]) & F.length(docs["text"]).between(1, sample_chars))
+    learn = docs.where(docs["doc_id"].isNotNull() & docs["lang"].isNotNull() & ~held_out(docs["doc_id"]) & (F.length(docs["text"]) > 0))
     learn = learn.select(docs["lang"].cast("string").alias("lang"), F.pmod(F.xxhash64(docs["doc_id"]), F.lit(1 << 30)).alias("r"), docs["text"].alias("text"))
     found = {x["lang"]: x["count"] for x in learn.groupBy("lang").count().collect()}
     if not found:
         return None
     share = lambda n: (1 << 30) if n <= 2 * sample_docs else int((1 << 30) * 1.5 * sample_docs / n)
     limits = docs.sparkSession.createDataFrame([(x, share(n)) for x, n in found.items()], "lang string, most long")
-    samples: dict[str, list[bytes]] = {x: [] for x in found}
-    for row in sorted(learn.join(F.broadcast(limits), "lang").where("r < most").select("lang", "r", "text").collect()):
-        own, text = samples[row["lang"]], row["text"].encode()
-        if len(own) < sample_docs and sum(map(len, own)) < sample_bytes:
-            own.append(text)
-    return Model({x: own for x, own in samples.items() if own}, max_cells) if any(samples.values()) else None
+    start = F.pmod("r", F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    near = learn.join(F.broadcast(limits), "lang").where("r < most").select("lang", "r", F.substring("text", start, F.lit(sample_chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("r", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = near.select("*", F.count(F.lit(1)).over(order).alias("at"), (F.sum(F.octet_length("text")).over(order) - F.octet_length("text")).alias("before"))
+    samples: dict[str, list[bytes]] = {}
+    for row in taken.where((F.col("at") <= sample_docs) & (F.col("before") < sample_bytes)).select("lang", "r", "text").sort("lang", "r", "text").collect():
+        samples.setdefault(row["lang"], []).append(row["text"].encode())
+    return Model(samples, max_cells) if samples else None
 
 
 def _judge(model: Model | None, texts: pa.Array, letters: pa.Array) -> tuple[list[str], list[float]]:

@@ -67,6 +67,25 @@ def test_odd_rows(docs, no_docs):
     assert L.identify(no_docs).count() == 0 and L.known_language(no_docs).count() == 0
 
 
+def test_languages_of_long_texts_alone_are_learned(spark):
+    """Every training text of ``fi`` is longer than what is taken of a document."""
+    fi, en = "yksi kaksi kolme neljä viisi kuusi seitsemän ", "one two three four five six seven "
+    rows = [(i, (fi if i % 2 else en) * (40 if i % 2 else 2), "fi" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(df, sample_docs=5, sample_bytes=400, sample_chars=100)
+    assert model.langs == ["en", "fi"]
+    assert model.predict([b"kuusi kaksi yksi", b"six two one"])[0] == ["fi", "en"]
+    seen = []
+    whole, L.Model = L.Model, lambda samples, cells: seen.append(samples)
+    try:
+        L.train(df, sample_docs=5, sample_bytes=400, sample_chars=100)
+        L.train(df, sample_docs=3, sample_bytes=10_000, sample_chars=100)
+    finally:
+        L.Model = whole
+    assert all(len(t.decode()) == 100 and t.decode() in fi * 40 for t in seen[0]["fi"])
+    assert [len(s["fi"]) for s in seen] == [4, 3] and len(seen[0]["en"]) == 5
+
+
 def test_nothing_to_learn(docs):
     from pyspark.sql import functions as F
 
