@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import positive
 from ..functions import hashing as H
 from ..functions import sizing
+from ..sources.staged import stage
 from . import dense, marks
 
 #: Words up to which a compact filter is broadcast; above it the probe joins bits.
@@ -48,8 +49,11 @@ class Bloom:
             return df.withColumn(out, F.when(F.col("_h1").isNotNull(), F.array(*self._bits()))).drop("_h1", "_h2")
 
     def build(self, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-        """by..., bit: the set bits.  Null keys are skipped."""
-        rows = self.with_probes(df.select(*by, key), key).select(*by, F.explode("probes").alias("bit")).distinct()
+        """by..., bit: the set bits.  Null keys are skipped.
+
+        The outer form, as a plain explode filters by the array's size first, with the hashes written out in the scan.
+        """
+        rows = self.with_probes(df.select(*by, key), key).select(*by, F.explode_outer("probes").alias("bit")).where("bit is not null").distinct()
         return marks.mark(rows, "bit", bits=self.bits, hashes=self.hashes)
 
     def inserted(self, df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -76,12 +80,12 @@ class Bloom:
     def probe(self, df: DataFrame, key: str, state: DataFrame, out: str = "maybe") -> DataFrame:
         """Adds whether a key may be a member; false is certain, null keys give null.
 
-        A filter of at most BROADCAST_WORDS words is a scalar subquery, which each task gets once; a larger one is
-        joined bit by bit for the distinct keys.
+        A filter of at most BROADCAST_WORDS words is staged and read by a scalar subquery, which each task gets once; a larger
+        one is joined bit by bit for the distinct keys.  Each hash names the subquery, so it must be no more than a scan of one row.
         """
         marks.check(state, "bit", bits=self.bits, hashes=self.hashes)
         if -(-self.bits // 64) <= BROADCAST_WORDS:
-            words = self.compact(state).select("words").scalar()
+            words = stage(self.compact(state).select("words"), "filter").scalar()
             rows = self._hashed(df, key)
             with H.wrapping(df.sparkSession):
                 rows = rows.withColumns({f"_b{i}": b for i, b in enumerate(self._bits())})
@@ -91,20 +95,25 @@ class Bloom:
                 hit &= F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
             return rows.withColumn(out, F.when(F.col("_h1").isNotNull(), hit)).drop("_h1", "_h2", *(f"_b{i}" for i in range(self.hashes)))
         keys = df.select(F.col(key).alias("_key")).where("_key is not null").distinct()
-        probes = self.with_probes(keys, "_key").select("_key", F.explode(F.array_distinct("probes")).alias("bit"))
+        probes = self.with_probes(keys, "_key").select("_key", F.explode_outer(F.array_distinct("probes")).alias("bit"))
         found = probes.join(state, "bit", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_found"))
         need = probes.groupBy("_key").agg(F.count(F.lit(1)).alias("_need"))
         members = need.join(found, "_key").where("_found = _need").select("_key", F.lit(True).alias("_hit"))
         return df.join(members, F.col(key) == F.col("_key"), "left").withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce("_hit", F.lit(False)))).drop("_key", "_hit")
 
+    @staticmethod
+    def _candidates(probed: DataFrame) -> DataFrame:
+        """The rows that may have a partner.  A filter on ``_maybe`` itself would be pushed to the scan with all hashes written out in it; none passes a generated column."""
+        return probed.select("*", F.explode_outer(F.array("_maybe")).alias("_candidate")).where("_candidate").drop("_maybe", "_candidate")
+
     def semi_join(self, left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
         """The rows of ``left`` with a partner in ``right``: the filter first, then the exact join on what is left."""
-        kept = self.probe(left, key, self.build(right, right_key), "_maybe").where("_maybe").drop("_maybe")
+        kept = self._candidates(self.probe(left, key, self.build(right, right_key), "_maybe"))
         return kept.join(right.select(F.col(right_key).alias(key)).distinct(), key, "left_semi")
 
     def anti_join(self, left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
         """The rows of ``left`` without a partner; those that the filter refuses skip the exact join."""
         probed = self.probe(left, key, self.build(right, right_key), "_maybe")
-        sure = probed.where("_maybe is null or not _maybe").drop("_maybe")
-        rest = probed.where("_maybe").drop("_maybe").join(right.select(F.col(right_key).alias(key)).distinct(), key, "left_anti")
+        sure = self._candidates(probed.withColumn("_maybe", ~F.coalesce("_maybe", F.lit(False))))
+        rest = self._candidates(probed).join(right.select(F.col(right_key).alias(key)).distinct(), key, "left_anti")
         return sure.unionByName(rest)

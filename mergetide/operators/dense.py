@@ -39,6 +39,9 @@ def byte_at(binary: str, at: Column) -> Column:
 
 
 def from_binary(rows: DataFrame, keep: Sequence[str], binary: str, index: str, value: str) -> DataFrame:
-    """keep..., index, value: a row for each byte that is not zero.  The bytes are read in one expression, so no row carries the binary."""
+    """keep..., index, value: a row for each byte that is not zero.
+
+    The bytes are read in one expression, so no row carries the binary, and once: a plain explode asks for the array's size first.
+    """
     every = F.transform(F.sequence(F.lit(0), F.length(binary) - 1), lambda i: byte_at(binary, i))
-    return rows.select(*keep, F.posexplode(F.when(F.length(binary) > 0, every)).alias(index, value)).where(F.col(value) > 0)
+    return rows.select(*keep, F.posexplode_outer(F.when(F.length(binary) > 0, every)).alias(index, value)).where(F.col(value) > 0)

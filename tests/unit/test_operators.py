@@ -37,6 +37,18 @@ def test_bloom_members_and_false_positives(spark):
         bloom.Bloom(0, 1)
 
 
+def test_bloom_plans_hash_once(spark):
+    """No filter on hashes is pushed to the scan, where all of them would be written out, and each row is hashed once."""
+    spec, left, right = bloom.Bloom(9586, 7), ids(spark, 0, 100), ids(spark, 50, 60, "w")
+    for df in (spec.build(right, "w"), spec.semi_join(left, "v", right, "w"), spec.anti_join(left, "v", right, "w")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in plan and all("shiftrightunsigned" not in x for x in plan.splitlines() if "Filter" in x)
+    assert sorted(r.v for r in spec.semi_join(left, "v", right, "w").collect()) == list(range(50, 60))
+    odd = spark.createDataFrame([(None,), (55,), (99,)], "v long")
+    assert [r.v for r in spec.semi_join(odd, "v", right, "w").collect()] == [55]
+    assert sorted(str(r.v) for r in spec.anti_join(odd, "v", right, "w").collect()) == ["99", "None"]
+
+
 def test_cuckoo_counts(spark):
     spec = cuckoo.Cuckoo.for_items(1000, 0.01)
     state = spec.build(ids(spark, 0, 1000), "v")
