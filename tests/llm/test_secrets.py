@@ -5,6 +5,7 @@ import pytest
 from mergetide.llm import secrets as S
 
 from .conftest import DATA
+from .hand_labelled import LINES
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +69,10 @@ def test_bare_values_and_addresses(spark, forest):
     assert found == {(0, "Xy7!kd92mQ"), (1, "hunter2abc"), (2, "qhTzWnbLrKpvXcMdJsGyFaRe"), (3, "S3cr3tPw"), (4, "k3Jx92LmQ7"), (5, "p4Xk9q"), (6, "tr0ub4dor3")}, got
     text = S.redacted(spark.createDataFrame([(1, df[3])], "doc_id long, text string"), forest).first().text
     assert text == f"postgres://u:{S.MASK}@host/db"
+
+
+def test_hand_labelled(spark, forest):
+    """Measured when the lines were written, before any change of the operator for them: 16 of 18 verdicts right, 16 of 20 secrets found."""
+    found = {k for k, v in scan(spark, forest, *(line for line, _ in LINES)).items() if v}
+    labelled = {(i, x) for i, (_, inside) in enumerate(LINES) for x in inside}
+    assert len(found & labelled) >= 0.85 * len(found) and len(found & labelled) >= 0.75 * len(labelled), found ^ labelled
