@@ -8,10 +8,13 @@ refused insertions depend on placement; :class:`Kernel` reproduces them, one tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -22,6 +25,8 @@ from ..functions import sizing
 from . import marks
 
 SLOTS, MAX_KICKS, MAX_LOAD = 4, 500, 0.96
+#: Refused places that a table remembers until it changes; beyond it they are tried again.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -75,27 +80,32 @@ class Cuckoo:
         """The rows of ``df`` with a key, and ``accepted``: whether a table of this size, which takes them in ``order``, has room.
 
         Placement depends on all insertions before, so a table is one task's work; the tables of ``by`` run side by
-        side.  A task streams its rows and holds one table, whatever the number of rows.
+        side.  A task streams its rows and holds one table, whatever the number of rows; a full table refuses whole batches.
         """
-        spec = self
+        spec, columns = self, df.columns
         rows = df.where(F.col(key).isNotNull())
         rows = H.with_hash(rows, "_h", key, H.CUCKOO_ITEM_SEED)
         rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, *order)
 
-        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, of = Kernel(spec), None
             for batch in batches:
-                groups = batch[list(by)].itertuples(index=False, name=None) if by else iter([()] * len(batch))
-                accepted = []
-                for group, h in zip(groups, batch["_h"].tolist(), strict=True):
-                    name = tuple(None if x != x else x for x in group)
-                    if of is not None and name != of:
+                if not (n := batch.num_rows):
+                    continue
+                keys, accepted, at = [batch.column(c) for c in by], np.zeros(n, bool), 0
+                hashes = batch.column("_h").to_numpy(zero_copy_only=False).view(np.uint64)
+                name = lambda i: tuple(math.nan if (x := k[i].as_py()) != x else x for k in keys)  # noqa: B023, E731
+                ends = name(0), name(n - 1)
+                for group, run in groupby([ends[0]] * n if ends[0] == ends[1] else map(name, range(n))):
+                    begin, at = at, at + len(list(run))
+                    if of is not None and group != of:
                         table = Kernel(spec)
-                    of = name
-                    accepted.append(table.insert(h & H.MASK))
-                yield batch.drop(columns="_h").assign(accepted=accepted)
+                    of = group
+                    for i, h in enumerate([] if table.full else hashes[begin:at].tolist(), begin):
+                        accepted[i] = table.insert(h)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(accepted)], names=[*columns, "accepted"])
 
-        return rows.mapInPandas(fill, StructType([*df.schema, StructField("accepted", BooleanType())]))
+        return rows.select(*columns, "_h").mapInArrow(fill, StructType([*df.schema, StructField("accepted", BooleanType())]))
 
     def load(self, state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         """by..., inserted, load_factor, overfull: overfull pairs hold more than their buckets can."""
@@ -122,10 +132,19 @@ class Cuckoo:
 
 
 class Kernel:
-    """One table with four slots a bucket, random kicks, and refused insertions that leave it unchanged."""
+    """One table with four slots a bucket, random kicks, and refused insertions that leave it unchanged.
+
+    As a refusal puts back the table and the random numbers, the same place is refused until the table changes, and a
+    full table refuses all: neither takes kicks again.
+    """
 
     def __init__(self, spec: Cuckoo):
         self.spec, self.table, self.inserted, self.rng = spec, [[0] * SLOTS for _ in range(spec.buckets)], 0, H.CUCKOO_RNG
+        self.refused: set[tuple[int, int]] = set()
+
+    @property
+    def full(self) -> bool:
+        return self.inserted == SLOTS * self.spec.buckets
 
     def _random(self) -> int:
         self.rng = H.splitmix64((self.rng + H.INCREMENT) & H.MASK)
@@ -137,10 +156,15 @@ class Kernel:
             return False
         slots[slots.index(0)] = fp
         self.inserted += 1
+        self.refused.clear()
         return True
 
     def insert(self, hash_: int) -> bool:
-        fp, a, b = self.spec.place(hash_)
+        if self.full:
+            return False
+        place = fp, a, b = self.spec.place(hash_)
+        if place[:2] in self.refused:
+            return False
         if self._put(a, fp) or self._put(b, fp):
             return True
         before, moved = self.rng, []
@@ -155,6 +179,9 @@ class Kernel:
         for bucket, slot, old in reversed(moved):
             self.table[bucket][slot] = old
         self.rng = before
+        if len(self.refused) >= REMEMBERED:
+            self.refused.clear()
+        self.refused.add(place[:2])
         return False
 
     def contains(self, hash_: int) -> bool:
@@ -167,11 +194,13 @@ class Kernel:
             if fp in self.table[i]:
                 self.table[i][self.table[i].index(fp)] = 0
                 self.inserted -= 1
+                self.refused.clear()
                 return True
         return False
 
     def clear(self) -> None:
         self.table, self.inserted = [[0] * SLOTS for _ in range(self.spec.buckets)], 0
+        self.refused.clear()
 
     def pack(self) -> bytes:
         """The table with ``bits`` for a slot, buckets at byte edges, little endian."""
@@ -184,6 +213,7 @@ class Kernel:
         words = [int.from_bytes(data[i : i + size], "little") for i in range(0, len(data), size)]
         self.table = [[w >> bits * i & ((1 << bits) - 1) for i in range(SLOTS)] for w in words]
         self.inserted = sum(x > 0 for b in self.table for x in b)
+        self.refused.clear()
 
     @property
     def load_factor(self) -> float:

@@ -230,6 +230,30 @@ def test_cuckoo_tables_are_packed_and_read_back():
         other.unpack(b"x")
 
 
+def test_cuckoo_refuses_again_without_kicks(monkeypatch):
+    """A full table refuses all, and a place that was refused stays so until the table changes; results are those of trying each time."""
+
+    class Trying(cuckoo.Kernel):
+        full = False
+
+        def insert(self, hash_):
+            self.refused.clear()
+            return super().insert(hash_)
+
+    spec, calls, draw = cuckoo.Cuckoo(8, 6), [], cuckoo.Kernel._random
+    hashes = [H.hash64(i % 97, H.CUCKOO_ITEM_SEED) for i in range(400)]
+    for table in (hashes, [H.hash64(7, H.CUCKOO_ITEM_SEED)] * 12 + hashes):
+        k, trying = cuckoo.Kernel(spec), Trying(spec)
+        assert [k.insert(h) for h in table] == [trying.insert(h) for h in table] and (k.table, k.rng) == (trying.table, trying.rng)
+    assert k.full
+    monkeypatch.setattr(cuckoo.Kernel, "_random", lambda self: (calls.append(1), draw(self))[1])
+    assert not any(k.insert(h) for h in hashes * 25) and not calls
+    alone = cuckoo.Kernel(spec)
+    kept = [alone.insert(hashes[0]) for _ in range(1000)]
+    assert kept == [True] * 8 + [False] * 992 and len(calls) <= 1 + 2 * spec.max_kicks
+    assert alone.delete(hashes[0]) and alone.insert(hashes[0]) and not alone.insert(hashes[0])
+
+
 def test_cuckoo_false_positives():
     spec = cuckoo.Cuckoo.for_items(3600, 0.01)
     k = cuckoo.Kernel(spec)

@@ -309,3 +309,19 @@ def test_lsh_recall_and_hot_bands(spark, monkeypatch):
     monkeypatch.setattr(lsh, "BAND_ROWS", 1)
     assert {(r.a, r.b) for r in lsh.self_join(c, 32, 8)[0].collect()} == whole
     assert lsh.size(lsh.postings(c, 32, 8)) == len(sets)
+
+
+def test_cuckoo_insertions_keep_rows_and_groups(spark):
+    """Large integers beside nulls stay exact, and null and NaN are groups of their own."""
+    spec, big = cuckoo.Cuckoo(2, 8), (1 << 60) + 1
+    data = [(g, i, None if i % 2 else big + i) for g in (None, float("nan"), 0.5, -0.0, 0.0) for i in range(12)]
+    rows = spark.createDataFrame(data, "g double, v long, x long").coalesce(1)
+    got = spec.insert(rows, "v", ["v"], ["g"]).collect()
+    assert sorted(str((r.g, r.v, r.x)) for r in got) == sorted(map(str, data))
+    held = {}
+    for r in got:
+        name = "zero" if r.g == 0 else str(r.g)
+        held[name] = held.get(name, 0) + r.accepted
+    kernel = cuckoo.Kernel(spec)
+    alone = sum(kernel.insert(H.hash64(i, H.CUCKOO_ITEM_SEED)) for i in range(12))
+    assert alone <= 8 and held == {"None": alone, "nan": alone, "0.5": alone, "zero": held["zero"]} and held["zero"] <= 8
